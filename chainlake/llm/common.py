@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 import tempfile
 import uuid
@@ -137,9 +136,3 @@ def shard_of(key: Column, cuts: list[int]) -> Column:
         return F.when(key < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
 
     return F.when(key.isNull(), F.lit(0)).otherwise(build(0, len(cuts)))
-
-
-def shard_index(key: int | None, cuts: list[int]) -> int:
-    return 0 if key is None else bisect.bisect_right(cuts, key)
-
-

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.common import U64, WordHashes, cut_points, hashed_words, n_partitions, record_batches, shard_index, shard_of, shingle_hashes, table
+from chainlake.llm.common import U64, WordHashes, cut_points, hashed_words, n_partitions, record_batches, shard_of, shingle_hashes, table
 
 BITS = 64
 RADIUS = 3
@@ -84,29 +84,22 @@ def with_edits(docs: DataFrame) -> DataFrame:
     successor.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # NULL ids sort before every other id.
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    docs = docs.select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = cut_points(docs, "doc_id", n_partitions(spark))
-    shard = shard_of(F.col("doc_id"), cuts)
-    firsts = docs.select(shard.alias("s"), "doc_id").groupBy("s").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"), F.max(F.col("doc_id").isNull()).alias("has_null")).orderBy("s").collect()
-    occupied = [r["s"] for r in firsts]
-    first_id = {r["s"]: (None if r["has_null"] else r["first"]) for r in firsts}
-    moves = [(first_id[s], occupied[i - 1]) for i, s in enumerate(occupied)]
-    guest = F.array().cast("array<int>")
-    for doc_id, to in moves:
-        at = F.col("doc_id").isNull() if doc_id is None else F.col("doc_id") == F.lit(doc_id)
-        guest = F.when(shard_of(F.col("doc_id"), cuts) == F.lit(shard_index(doc_id, cuts)), F.when(at, F.array(F.lit(to))).otherwise(F.array().cast("array<int>"))).otherwise(guest) if len(moves) <= 4 else guest
-    if len(moves) > 4:
-        known = F.create_map(*[x for doc_id, to in moves if doc_id is not None for x in (F.lit(doc_id).cast("long"), F.lit(to))]) if any(i is not None for i, _ in moves) else F.lit(None)
-        to = F.element_at(known, F.col("doc_id")) if any(i is not None for i, _ in moves) else F.lit(None).cast("int")
-        nulls = [to_ for i, to_ in moves if i is None]
-        to = F.when(F.col("doc_id").isNull(), F.lit(nulls[0] if nulls else None).cast("int")).otherwise(to)
-        guest = F.when(to.isNull(), F.array().cast("array<int>")).otherwise(F.array(to))
-    homes = F.concat(F.array(F.struct(shard.cast("int").alias("to"), F.lit(0).alias("guest"))), F.transform(guest, lambda x: F.struct(x.cast("int").alias("to"), F.lit(1).alias("guest"))))
+    shard = shard_of(F.col("key"), cuts).cast("int")
+    firsts = docs.select("key", shard.alias("s")).groupBy("s").agg(F.min("key").alias("first")).orderBy("s").collect()
+    # One entry a shard: the key of its first document -> the shard before it.
+    before = [x for i, r in enumerate(firsts) for x in (F.lit(r["first"]).cast("long"), F.lit(firsts[i - 1]["s"]).cast("int"))]
+    guest_of = F.element_at(F.create_map(*before), F.col("key")) if before else F.lit(None).cast("int")
+    home = F.struct(shard.alias("to"), F.lit(0).alias("guest"))
+    homes = F.when(guest_of.isNull(), F.array(home)).otherwise(F.array(home, F.struct(guest_of.alias("to"), F.lit(1).alias("guest"))))
     dealt = (
-        docs.select("doc_id", "text", F.explode(homes).alias("h"))
-        .select("doc_id", "text", "h.to", "h.guest")
+        docs.select("doc_id", "key", "text", F.explode(homes).alias("h"))
+        .select("doc_id", "key", "text", "h.to", "h.guest")
         .repartitionById(len(cuts) + 1, F.col("to"))
-        .sortWithinPartitions("guest", "doc_id", "text")
+        .sortWithinPartitions("guest", "key", "text")
         .select("doc_id", "text", "guest")
     )
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fp", pa.int64()), ("edited_fp", pa.int64()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
