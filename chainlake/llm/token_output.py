@@ -52,17 +52,42 @@ class Encoder:
     library once. All other texts are given to the library whole.
     """
 
-    LIMIT = 300_000
+    LIMIT, SHORT = 250_000, 8
+    _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a piece: its token has the suffix of word ends.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One encoder per process and tokenizer."""
+        return cls._made.get(path) or cls._made.setdefault(path, cls(path))
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, pieces: list[str]) -> None:
+        """Give new pieces to the library, many to a text with spaces between, and cut its ids at word ends."""
+        ids = np.frombuffer(self.library([" ".join(pieces)])[0], "<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(pieces):
+            self.known.update(zip(pieces, self.library(pieces), strict=True))
+            return
+        raw, cut = ids.tobytes(), [0, *(4 * at).tolist()]
+        self.known.update((p, raw[a:b]) for p, a, b in zip(pieces, cut, cut[1:], strict=False))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian unsigned 32-bit integers."""
         end = np.asarray([END_ID], dtype="<u4").tobytes()
@@ -76,12 +101,12 @@ class Encoder:
             else:
                 cut.append(None if "<|" in text else _PIECE.findall(text.lower()))
         if len(self.known) > self.LIMIT:
-            self.known = {}
+            kept = {p: v for p, v in self.known.items() if len(p) <= self.SHORT}
+            self.known = kept if len(kept) < self.LIMIT // 2 else {}
         known = self.known
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self.library(part), strict=True))
+        new = list(set().union(*(pieces for pieces in cut if pieces)).difference(known))
+        for at in range(0, len(new), 1024):
+            self.learn(new[at : at + 1024])
         rest = iter(self.library([t or "" for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
         return [(next(rest) if pieces is None else b"".join(map(known.__getitem__, pieces))) + end for pieces in cut]
 
@@ -99,7 +124,7 @@ def train_dictionary(df: DataFrame, tokenizer: str, docs: int = DICT_DOCS, doc_c
         .limit(docs)
         .collect()
     )
-    coded = Encoder(tokenizer).encode([r["text"] for r in sample])
+    coded = Encoder.of(tokenizer).encode([r["text"] for r in sample])
     try:
         return zstandard.train_dictionary(DICT_BYTES, coded, threads=0).as_bytes()
     except zstandard.ZstdError:
@@ -145,7 +170,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, n_shards: int | None
     cuts = cut_points(docs, "doc_id", n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         shard, block, before, size = TaskContext.get().partitionId(), 0, 0, 0
         ids: list = []
