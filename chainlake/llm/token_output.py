@@ -117,13 +117,18 @@ def train_dictionary(df: DataFrame, tokenizer: str, docs: int = DICT_DOCS, doc_c
     The bound is the parameter ``docs``; texts of over ``doc_chars`` code points are not training samples.
     With too few samples to train on, the dictionary is raw content: the samples themselves.
     """
-    sample = (
+    chosen = (
         df.where(F.length("text").between(1, doc_chars))
-        .select("text", F.xxhash64("doc_id", F.lit(17)).alias("h"))
-        .orderBy("h", F.length("text"))
+        .select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h"))
+        .orderBy("h", "doc_id")
         .limit(docs)
+        .select("doc_id")
         .collect()
     )
+    ids = df.sparkSession.createDataFrame([(r["doc_id"],) for r in chosen if r["doc_id"] is not None], "doc_id long").distinct()
+    # Ids first, then the texts of that bounded list: no task sends more than its share of the sample.
+    sample = df.where(F.length("text").between(1, doc_chars)).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["text"]))
     coded = Encoder.of(tokenizer).encode([r["text"] for r in sample])
     try:
         return zstandard.train_dictionary(DICT_BYTES, coded, threads=0).as_bytes()
