@@ -1,4 +1,4 @@
-"""All queries over the reference's own operators, with their SQL."""
+"""All queries over the operators outside the llm subpackage, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from chainlake.plans import catalogue_sequences, catalogue_tables  # noqa: F401
+from chainlake.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
