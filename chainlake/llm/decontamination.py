@@ -40,39 +40,54 @@ class ItemIndex:
             sig = np.array([[mix(self.shingles[i] ^ seed).min() for seed in self.seeds] for i in members], dtype=U64)
             self.classes[size] = [(col[o := np.argsort(col)], np.asarray(members)[o]) for col in sig.T]
 
-    def candidates(self, s: np.ndarray) -> np.ndarray:
-        """Places of the items that share a register with some window of the shingles ``s``."""
+    def candidates(self, s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Rows (text, item place), distinct: the item shares a register with a window of that text.
+
+        ``s`` holds the shingles of all texts of a batch, one after the other. A window is two neighbouring blocks.
+        """
+        full = np.flatnonzero(lengths)
+        first = (np.cumsum(lengths) - lengths)[full]
+        plans = []
+        for size, tables in self.classes.items():
+            count = -(-lengths[full] // size)
+            owner = np.repeat(np.arange(len(full)), count)
+            at = first[owner] + size * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
+            more = np.append(owner[1:] == owner[:-1], False)
+            plans.append((tables, at, full[owner], more))
         found: list[np.ndarray] = []
-        for h, seed in enumerate(self.seeds):
-            x, width = mix(s ^ seed), 1
-            for size, tables in self.classes.items():
-                while width < size:
-                    x, width = (np.minimum.reduceat(x, np.arange(0, len(x), size)), size) if width == 1 else (np.minimum.reduceat(x, np.arange(0, len(x), 2)), width * 2)
-                window = np.minimum(x[:-1], x[1:]) if len(x) > 1 else x
+        for h, seed in enumerate(self.seeds if len(full) else ()):
+            x = mix(s ^ seed)
+            for tables, at, owner, more in plans:
+                low = np.minimum.reduceat(x, at)
+                window = np.where(more, np.minimum(low, np.append(low[1:], U64(0))), low)
                 keys, members = tables[h]
-                window = np.unique(window)
-                lo, hi = np.searchsorted(keys, window, "left"), np.searchsorted(keys, window, "right")
-                found += [members[a:b] for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True)]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-    def matches(self, words: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(item id, share of its shingles that the text holds) of the items with at least ``threshold``."""
+                lo = np.searchsorted(keys, window, "left")
+                hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == window)
+                hi = np.searchsorted(keys, window[hit], "right")
+                n = hi - lo[hit]
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append(np.stack([np.repeat(owner[hit], n), members[np.repeat(lo[hit], n) + nth]], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+    def matches(self, texts: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
+        """(place of the text, item id, share of its shingles that the text holds) with at least ``threshold``."""
+        shingles = [shingle_hashes(w) if len(w) >= SHINGLE else np.empty(0, U64) for w in texts]
         out = []
-        if len(words) >= SHINGLE:
-            s = shingle_hashes(words)
-            near = self.candidates(s)
-            held = np.unique(s) if len(near) else s
-            for i in near:
-                q = self.shingles[i]
-                at = np.searchsorted(held, q)
-                share = float((held[np.minimum(at, len(held) - 1)] == q).mean())
-                if share >= threshold:
-                    out.append((self.ids[i], share))
+        held: tuple[int, np.ndarray] = (-1, np.empty(0, U64))
+        for t, i in self.candidates(np.concatenate(shingles), np.array([len(x) for x in shingles])).tolist() if texts else ():
+            if held[0] != t:
+                held = (t, np.unique(shingles[t]))
+            q = self.shingles[i]
+            at = np.searchsorted(held[1], q)
+            share = float((held[1][np.minimum(at, len(held[1]) - 1)] == q).mean())
+            if share >= threshold:
+                out.append((t, self.ids[i], share))
         for k, (keys, members) in self.short.items():
-            if len(words) >= k:
-                runs = np.unique(shingle_hashes(words, k))
-                lo, hi = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
-                out += [(self.ids[i], 1.0) for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True) for i in members[a:b]]
+            for t, words in enumerate(texts):
+                if len(words) >= k:
+                    runs = np.unique(shingle_hashes(words, k))
+                    lo, hi = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
+                    out += [(t, self.ids[i], 1.0) for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True) for i in members[a:b]]
         return out
 
 
@@ -107,7 +122,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, h
 
         def f(c: dict[str, list], sent=sent, built=built, cache=cache) -> dict[str, object]:
             index = built.get("index") or built.setdefault("index", ItemIndex(sent.value, hashes))
-            hits = [(d, i, s) for d, t in zip(c["doc_id"], c["text"], strict=True) for i, s in index.matches(hashed_words(t, cache), threshold)]
+            hits = [(c["doc_id"][t], i, s) for t, i, s in index.matches([hashed_words(t, cache) for t in c["text"]], threshold)]
             return dict(zip(schema.names, map(list, zip(*hits, strict=True)), strict=True)) if hits else {n: [] for n in schema.names}
 
         found = docs.select("doc_id", "text").mapInArrow(record_batches(f, schema), "doc_id long, item_id long, containment double")
