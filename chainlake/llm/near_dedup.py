@@ -14,6 +14,8 @@ from chainlake.llm.common import THRESHOLD, U64, WordHashes, as_signed, hashed_w
 
 #: 25 bands of 5 registers: a pair of weighted similarity 0.8 shares no band with probability 5e-5.
 BANDS, ROWS = 25, 5
+#: A block of a bucket has about so many rows and bytes; its overlaps are counted so many tokens at a time.
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 512, 1 << 24, 4096
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7)
 
 
@@ -122,6 +124,63 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(f, "a long, b long, similarity double")
 
 
+def block_links(bags: list[bytes], labels: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links between rows ``first`` and rows ``second`` with different labels, thinned to a spanning forest.
+
+    Overlaps of all pairs come from products of 0/1 matrices over the tokens that two rows share, some columns at a
+    time; the pairs themselves are never listed.
+    """
+    sets = [np.frombuffer(b, np.uint32) for b in bags]
+    size = np.array([len(x) for x in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0) :]
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(first), len(second)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        both += m[first] @ m[second].T
+    union = size[first][:, None] + size[second][None] - both
+    hit = (both >= threshold * union) & (both > 0) & (labels[first][:, None] != labels[second][None])
+    root = np.arange(len(sets))
+    found = []
+    for i, j in np.argwhere(hit):
+        x, y = first[i], second[j]
+        if root[x] != root[y]:
+            root[root == root[y]] = root[x]
+            found.append((x, y, float(both[i, j] / union[i, j])))
+    return found
+
+
+def blocked_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity: links between members (band, key, rep, label) of one bucket that have different labels.
+
+    A bucket is dealt by hash into blocks of about ``BLOCK_ROWS`` rows and ``BLOCK_BYTES`` bytes, and each two blocks
+    are one task's group, so that a bucket of any size has groups of bounded size, and only links leave them.
+    """
+    rows = members.join(bags.select(F.col("doc_id").alias("rep"), "bag"), "rep")
+    size = members.join(bags.select(F.col("doc_id").alias("rep"), F.length("bag").alias("bytes")), "rep").groupBy("band", "key")
+    size = size.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = rows.join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", "key", "rep", "label", "bag", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def f(t: pa.Table) -> pa.Table:
+        rep, label, block = (t.column(c).to_numpy() for c in ("rep", "label", "block"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = block_links(t.column("bag").to_pylist(), label, first, second, threshold) if len(first) and len(second) and label.min() != label.max() else []
+        pairs = [(min(rep[x], rep[y]), max(rep[x], rep[y]), s) for x, y, s in found]
+        return pa.Table.from_arrays([pa.array([p[k] for p in pairs], type=c.type) for k, c in enumerate(schema)], schema=schema)
+
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(f, "a long, b long, similarity double").dropDuplicates(["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node that can be reached) over the edges (a, b).
 
@@ -149,8 +208,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     were needed to find the class. NULL doc_ids and repeated rows are kept as rows of their class.
 
     Copies meet in one aggregation and go on as one representative. A band's bucket is a star: its smallest and its
-    largest member are compared with the others, so a bucket of n texts gives 2n pairs. Only members that end in
-    another component than the bucket's first are then compared with all of the bucket outside their component.
+    largest member are compared with the others, so a bucket of n texts gives 2n pairs. Buckets whose members end in
+    more than one component are then compared whole, block by block, and only links come out (``blocked_links``).
     """
     texts = stored(signed_texts(docs, bands, rows), "signatures")
     reps = stored(texts.groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "reps")
@@ -175,12 +234,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     member = shared.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_ = member.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key", "low")
     member = stored(member.join(open_, ["band", "key"]).select("band", "key", "rep", "label", "low"), "open")
-    odd = member.where("label != low").select("band", "key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    other = member.select("band", "key", F.col("rep").alias("y"), F.col("label").alias("ly"))
-    more = odd.join(other, ["band", "key"]).where("lx != ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
+    more = stored(blocked_links(member.drop("low"), bags, threshold), "links")
     if not more.isEmpty():
-        links = stored(links.unionByName(verified(more, bags, threshold)), "links")
+        links = stored(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
         label = components(links)
 
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
