@@ -162,12 +162,12 @@ def blocked_links(members: DataFrame, bags: DataFrame, threshold: float) -> Data
     A bucket is dealt by hash into blocks of about ``BLOCK_ROWS`` rows and ``BLOCK_BYTES`` bytes, and each two blocks
     are one task's group, so that a bucket of any size has groups of bounded size, and only links leave them.
     """
-    rows = members.join(bags.select(F.col("doc_id").alias("rep"), "bag"), "rep")
-    size = members.join(bags.select(F.col("doc_id").alias("rep"), F.length("bag").alias("bytes")), "rep").groupBy("band", "key")
+    named = bags.select(F.col("doc_id").alias("rep"), "bag")
+    size = members.join(named.select("rep", F.length("bag").alias("bytes")), "rep").groupBy("band", "key")
     size = size.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    rows = rows.join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = members.join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", "rep", "label", "bag", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.select("band", "key", "rep", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(named, "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def f(t: pa.Table) -> pa.Table:
