@@ -259,3 +259,32 @@ def test_pipeline(spark, docs):
         assert df.columns == docs.columns
     got = corpus_pipeline.STAGES[-1][1](spark, df, SF)
     assert got.count() == df.count() and set(got.columns) >= {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_blocks_find_the_links_of_a_whole_bucket(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = np.arange(100, dtype=np.uint32)
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        s[rng.choice(100, rng.integers(0, 25), replace=False)] = rng.integers(1000, 2**31, 1)
+        sets.append(np.unique(s).tobytes())
+    members = spark.createDataFrame([(0, 7, i, i) for i in range(60)], "band int, key long, rep long, label long")
+    bags = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(sets)], "doc_id long, bag binary")
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if near_dedup.overlap(sets[i], sets[j]) >= 0.8]
+
+    def classes(pairs):
+        label = list(range(60))
+        for a, b in pairs:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+        return label
+
+    for rows, columns in ((512, 4096), (7, 16)):
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(near_dedup, "COLUMNS", columns)
+        got = [(r["a"], r["b"]) for r in near_dedup.blocked_links(members, bags, 0.8).collect()]
+        assert set(got) <= set(want)
+        assert classes(got) == classes(want)
