@@ -16,12 +16,29 @@ NO_AGE = 9999.0
 # The results depend on them.
 MISSING = ("missing", "none", "nan", "n/a", "na", "unknown", "not found", "not available", "not reported")
 LOCATIONS = {"USA": "United States", "US": "United States", "U.S.": "United States", "U.S.A.": "United States", "UK": "United Kingdom", "U.K.": "United Kingdom"}
-SEXES = {"m": "Male", "male": "Male", "man": "Male", "f": "Female", "female": "Female", "woman": "Female"}
+SEXES = {"male": "Male", "m": "Male", "female": "Female", "f": "Female", "female/ male": "Both", "male/female": "Both"}
 RACES = {"white": "White", "caucasian": "White", "black": "Black", "african american": "Black", "african-american": "Black", "hispanic": "Hispanic", "latino": "Hispanic", "asian": "Asian", "native american": "Native American", "mixed": "Mixed", "other": "Other"}
-EMPLOYMENTS = {"employed": "Employed", "unemployed": "Unemployed", "self-employed": "Self-employed", "self employed": "Self-employed", "retired": "Retired", "student": "Student"}
-YES_NO_HEADINGS = ("abused", "adopted", "married", "divorced", "arrested", "convicted", "military", "diagnosed", "confessed", "drug", "alcohol")
-NUMERIC_HEADINGS = ("number of", "age of", "age at", "iq")
-LOCATION_HEADINGS = ("location", "country", "city", "birth place")
+EMPLOYMENTS = {"employed": "Employed", "unemployed": "Unemployed", "part-time": "Part-time", "part time": "Part-time", "self-employed": "Self-employed", "self employed": "Self-employed"}
+YES_NO_HEADINGS = (
+    "Physically abused?", "Sexually abused?", "Emotionally abused?", "Animal torture", "Fire setting", "Bed wetting", "Abused alcohol?", "Abused drugs?",
+    "Been to a psychologist?", "Ate part of the body?", "Drank victim's blood?", "Bound the victims?", "Tortured the victims?", "Killed prior to series?",
+    "Applied for job as a cop?", "Attempted suicide?", "Fired from jobs?", "Killed enemy during service?", "Head injury?", "Dumped body in lake, river, etc?",
+    "Burned body", "Cut up and disposed of", "Did killer have a partner?", "Did killer plead NGRI?", "Did serial killer confess?", "Killer committed suicide?",
+    "Killer executed?", "Killer killed in prison?", "Lives with his children", "Lives with her children", "Committed previous crimes?",
+)
+NUMERIC_HEADINGS = (
+    "Number of victims", "IQ", "Birth order", "Killer age at start of series", "Killer age at end of series", "Age of first kill",
+    "Age when first had intercourse", "Age of first sexual experience", "Highest grade in school",
+)
+LOCATION_HEADINGS = ("Country where killing occurred", "States where killing occurred", "Cities where killing occurred", "Counties where killing occurred")
+HEADINGS = {
+    "Physically abused?": "Physically abused", "Sexually abused?": "Sexually abused", "Emotionally abused?": "Emotionally abused", "Abused alcohol?": "Abused alcohol",
+    "Abused drugs?": "Abused drugs", "Been to a psychologist?": "Been to psychologist", "Been to a psychologist prior to killing?": "Been to psychologist",
+    "Applied for job as a cop?": "Applied for cop job", "Attempted suicide?": "Attempted suicide", "Fired from jobs?": "Fired from jobs",
+    "Killed enemy during service?": "Killed in service", "Head injury?": "Head injury", "Did killer have a partner?": "Had partner",
+    "Did killer plead NGRI?": "Plead NGRI", "Did serial killer confess?": "Confessed", "Killer committed suicide?": "Committed suicide",
+    "Killer executed?": "Executed", "Killer killed in prison?": "Killed in prison",
+}
 
 
 def parse_age(age: Column) -> Column:
@@ -83,13 +100,13 @@ def standardize_category(value: Column, known: dict[str, str]) -> Column:
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in words])
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def clean_attributes(df: DataFrame) -> DataFrame:
     """Routes each (heading, value) to its cleaner: the first of the rules whose words the heading contains."""
     v = standardize_missing(F.col("value"))
-    h = F.col("heading")
+    h = F.trim("heading")
     cleaned = (
         F.when(v == UNKNOWN, v)
         .when(contains_any(h, YES_NO_HEADINGS), standardize_yes_no(v))
@@ -100,7 +117,7 @@ def clean_attributes(df: DataFrame) -> DataFrame:
         .when(h.contains("Employment"), standardize_category(v, EMPLOYMENTS))
         .otherwise(F.regexp_replace(v, r"\s+", " "))
     )
-    renamed = F.when(h.endswith("?"), F.rtrim(F.regexp_replace(h, r"\?+$", ""))).otherwise(h)
+    renamed = F.coalesce(lookup(F.col("heading"), HEADINGS, F.col("heading")), F.col("heading"))
     return df.withColumns({"value": cleaned, "heading": renamed}).withColumn("heading_key", F.lower(F.trim("heading")))
 
 

@@ -48,15 +48,81 @@ def features(seq: DataFrame) -> DataFrame:
     )
 
 
-def risk(found: DataFrame) -> DataFrame:
-    """entity, risk, level: weighted sum of type (unknown: 0.5), recent severity, escalation, age and versatility."""
-    age = F.when(F.col("first_age") < 18, 0.8).when(F.col("first_age") < 25, 0.6).otherwise(0.4)
-    score = 0.3 * F.lit(0.5) + 0.25 * F.col("recent") + 0.2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("severity_slope"))) + 0.1 * age + 0.15 * F.col("diversity")
-    return found.select("entity", score.alias("risk")).withColumn("level", risk_level(F.col("risk")))
+VIOLENT = "violen|murder|assault"
+#: Share of the risk that a named type brings; any other name brings 0.5.
+TYPE_RISK = {"Low-Risk": 0.2, "Moderate-Risk": 0.5, "High-Risk": 0.8, "Chronic-Offender": 0.9}
+
+
+def event_severity(text: Column) -> Column:
+    low = F.lower(text)
+    return F.when(low.rlike("murder|kill"), 10.0).when(low.rlike("violen|assault|rape"), 7.0).when(low.rlike("armed|weapon"), 5.0).when(low.rlike("drug|theft"), 3.0).otherwise(1.0)
+
+
+def crime_type(text: Column) -> Column:
+    low = F.lower(text)
+    return F.when(low.contains("violen"), "violent").when(low.contains("drug"), "drug").when(low.rlike("theft|robbery"), "property").when(low.rlike("sex|rape"), "sexual")
+
+
+def risk(seq: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """entity, recent, escalation, age_factor, versatility, risk, level, action from (entity, pos, state, age).
+
+    ``recent``: violent share of the last three events, 0 for fewer than three; ``escalation``: half the slope of
+    severity over position, between 0 and 1; ``age_factor``: 0.3 under 25 (by the last age; NULL and 0 count as
+    unknown), else 0.1; ``versatility``: distinct crime types of four. ``types`` (entity, type) brings names. One
+    aggregation over one window.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("entity"))
+    x = seq.withColumn("n", n)
+    last = (F.col("pos") > F.col("n") - 3) & F.lower("state").rlike(VIOLENT)
+    parts = x.groupBy("entity").agg(
+        F.when(F.max("n") >= 3, F.count_if(last) / 3).otherwise(0.0).alias("recent"),
+        F.when(F.max("n") >= 3, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.regr_slope(event_severity(F.col("state")), F.col("pos").cast("double")) / 2))).otherwise(0.0).alias("escalation"),
+        F.when((F.max_by("age", "pos") != 0) & (F.max_by("age", "pos") < 25), 0.3).otherwise(0.1).alias("age_factor"),
+        (F.countDistinct(crime_type(F.col("state"))) / 4).alias("versatility"),
+    )
+    kind = F.lit(0.5)
+    if types is not None:
+        parts = parts.join(types.select("entity", "type"), "entity", "left")
+        kind = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in TYPE_RISK.items() for v in kv]), F.col("type")), F.lit(0.5))
+    score = 0.3 * kind + 0.25 * F.col("recent") + 0.2 * F.col("escalation") + 0.1 * F.col("age_factor") + 0.15 * F.col("versatility")
+    named = parts.withColumn("risk", score).withColumn("level", risk_level(F.col("risk")))
+    return named.withColumn("action", risk_action(F.col("risk"))).select("entity", "recent", "escalation", "age_factor", "versatility", "risk", "level", "action")
 
 
 def risk_level(score: Column) -> Column:
-    return F.when(score < 0.3, "Low").when(score < 0.5, "Moderate").when(score < 0.7, "High").otherwise("Very High")
+    return F.when(score < 0.3, "Low Risk").when(score < 0.5, "Moderate Risk").when(score < 0.7, "High Risk").otherwise("Very High Risk")
+
+
+def risk_action(score: Column) -> Column:
+    return F.when(score < 0.3, "Standard supervision").when(score < 0.5, "Enhanced monitoring").when(score < 0.7, "Intensive supervision").otherwise("Maximum supervision and intervention")
+
+
+def profiles(seq: DataFrame, labels: DataFrame, top: int = 10) -> DataFrame:
+    """type, n_entities, avg_length, mean_age, violent_share and risk rank of the types in ``labels`` (entity, type).
+
+    ``n_violent`` counts violent events among a type's ``top`` commonest (ties by name). The name has a length class
+    and a severity class: over 0.3 violent occurrences per listed event, any, none. Risk is 0.3 * average length + 2 *
+    violent events listed + 0.1 * years of the mean age under 25; ranks from 0, ascending.
+    """
+    x = seq.join(labels.select("entity", "type"), "entity")
+    common = x.groupBy("type", "state").agg(F.count(F.lit(1)).alias("c"))
+    common = common.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("c"), "state"))).where(F.col("r") <= top)
+    violent = F.lower("state").rlike(VIOLENT)
+    listed = common.groupBy("type").agg(F.count(F.lit(1)).alias("listed"), F.count_if(violent).alias("n_violent"), F.sum(F.when(violent, F.col("c")).otherwise(0)).alias("occurrences"))
+    whole = x.groupBy("type").agg(F.countDistinct("entity").alias("n_entities"), (F.count(F.lit(1)) / F.countDistinct("entity")).alias("avg_length"), F.avg("age").alias("mean_age"))
+    y = whole.join(listed, "type")
+    risk = 0.3 * F.col("avg_length") + 2 * F.col("n_violent") + 0.1 * F.greatest(F.lit(0.0), 25 - F.coalesce("mean_age", F.lit(25.0)))
+    length = F.when(F.col("avg_length") < 5, "Brief").when(F.col("avg_length") < 10, "Moderate").otherwise("Extended")
+    severe = F.when(F.col("occurrences") > 0.3 * F.col("listed"), "High-Violence").when(F.col("occurrences") > 0, "Mixed-Severity").otherwise("Non-Violent")
+    y = y.withColumn("risk", risk).withColumn("name", F.concat_ws(" ", length, severe, F.lit("Trajectory")))
+    return y.withColumn("risk_rank", (F.row_number().over(Window.orderBy("risk", "type")) - 1).cast("long")).select("type", "name", "n_entities", "avg_length", "mean_age", "n_violent", "risk", "risk_rank")
+
+
+def type_changes(early: DataFrame, late: DataFrame) -> DataFrame:
+    """early_type, late_type, n, prob: how entities' types go from their early to their late half."""
+    both = early.select("entity", F.col("type").alias("early_type")).join(late.select("entity", F.col("type").alias("late_type")), "entity")
+    n = both.groupBy("early_type", "late_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("early_type")))
 
 
 def types(found: DataFrame, k: int = 4, restarts: int = 3) -> DataFrame:

@@ -208,11 +208,48 @@ def trajectory_features(spark, sf):
     return rounded(f.withColumn("rate", F.round("rate", 4)).withColumn("rate_std", F.round("rate_std", 2)))
 
 
-@query(TRAJECTORY + """, s AS (SELECT entity, 0.3 * 0.5 + 0.25 * recent + 0.2 * greatest(0.0, least(1.0, severity_slope)) + 0.1 * CASE WHEN first_age < 18 THEN 0.8 WHEN first_age < 25 THEN 0.6 ELSE 0.4 END
-    + 0.15 * diversity AS risk FROM f)
-  SELECT entity, round(risk::DOUBLE, 6) AS risk, CASE WHEN risk < 0.3 THEN 'Low' WHEN risk < 0.5 THEN 'Moderate' WHEN risk < 0.7 THEN 'High' ELSE 'Very High' END AS level FROM s""")
+#: Event types as texts that the severity rules know.
+TEXTS = {"purchase": "armed robbery", "click": "drug offence", "signup": "violent assault", "error": "murder"}
+CRIMES = f"""WITH {SEQ}, t AS (SELECT entity, pos, age, CASE state WHEN 'purchase' THEN 'armed robbery' WHEN 'click' THEN 'drug offence' WHEN 'signup' THEN 'violent assault' WHEN 'error' THEN 'murder' ELSE state END AS state FROM seq) """
+
+
+def _crimes(spark, sf):
+    named = F.create_map(*[F.lit(v) for kv in TEXTS.items() for v in kv])
+    return event_sequences(spark, sf).withColumn("state", F.coalesce(F.element_at(named, F.col("state")), F.col("state")))
+
+
+@query(CRIMES + """, x AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n,
+    CASE WHEN regexp_matches(state, 'murder|kill') THEN 10 WHEN regexp_matches(state, 'violen|assault|rape') THEN 7 WHEN regexp_matches(state, 'armed|weapon') THEN 5 WHEN regexp_matches(state, 'drug|theft') THEN 3 ELSE 1 END::DOUBLE AS sev,
+    CASE WHEN contains(state, 'violen') THEN 'v' WHEN contains(state, 'drug') THEN 'd' WHEN regexp_matches(state, 'theft|robbery') THEN 'p' WHEN regexp_matches(state, 'sex|rape') THEN 's' END AS kind FROM t),
+  f AS (SELECT entity, CASE WHEN max(n) >= 3 THEN count(*) FILTER (WHERE pos > n - 3 AND regexp_matches(state, 'violen|murder|assault')) / 3.0::DOUBLE ELSE 0 END AS recent,
+    CASE WHEN max(n) >= 3 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, regr_slope(sev, pos::DOUBLE) / 2)) ELSE 0 END AS escalation, CASE WHEN max_by(age, pos) <> 0 AND max_by(age, pos) < 25 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS age_factor,
+    count(DISTINCT kind) / 4.0::DOUBLE AS versatility FROM x GROUP BY entity), r AS (SELECT *, 0.15::DOUBLE + 0.25::DOUBLE * recent + 0.2::DOUBLE * escalation + 0.1::DOUBLE * age_factor + 0.15::DOUBLE * versatility AS risk FROM f)
+  SELECT entity, round(recent, 6) AS recent, round(escalation, 6) AS escalation, age_factor, versatility, round(risk, 6) AS risk,
+    CASE WHEN risk < 0.3 THEN 'Low Risk' WHEN risk < 0.5 THEN 'Moderate Risk' WHEN risk < 0.7 THEN 'High Risk' ELSE 'Very High Risk' END AS level,
+    CASE WHEN risk < 0.3 THEN 'Standard supervision' WHEN risk < 0.5 THEN 'Enhanced monitoring' WHEN risk < 0.7 THEN 'Intensive supervision' ELSE 'Maximum supervision and intervention' END AS action FROM r""")
 def risk_score(spark, sf):
-    return rounded(R.risk(R.features(event_sequences(spark, sf))))
+    return rounded(R.risk(_crimes(spark, sf)))
+
+
+@query(CRIMES + """, l AS (SELECT entity, pos, age, state, (entity % 4)::BIGINT AS type FROM t), c AS (SELECT type, state, count(*) AS c FROM l GROUP BY ALL),
+  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY c DESC, state) AS r FROM c) WHERE r <= 10),
+  v AS (SELECT type, count(*) AS listed, count(*) FILTER (WHERE regexp_matches(state, 'violen|murder|assault')) AS n_violent, coalesce(sum(c) FILTER (WHERE regexp_matches(state, 'violen|murder|assault')), 0) AS occ FROM top GROUP BY 1),
+  w AS (SELECT type, count(DISTINCT entity) AS n_entities, count(*)::DOUBLE / count(DISTINCT entity) AS avg_length, avg(age) AS mean_age FROM l GROUP BY 1),
+  y AS (SELECT *, 0.3::DOUBLE * avg_length + 2 * n_violent + 0.1::DOUBLE * greatest(0.0::DOUBLE, 25 - mean_age) AS risk FROM w JOIN v USING (type))
+  SELECT type, CASE WHEN avg_length < 5 THEN 'Brief' WHEN avg_length < 10 THEN 'Moderate' ELSE 'Extended' END || ' ' || CASE WHEN occ > 0.3 * listed THEN 'High-Violence' WHEN occ > 0 THEN 'Mixed-Severity' ELSE 'Non-Violent' END || ' Trajectory' AS name,
+    n_entities, round(avg_length, 6) AS avg_length, round(mean_age, 6) AS mean_age, n_violent, round(risk, 6) AS risk, row_number() OVER (ORDER BY risk, type) - 1 AS risk_rank FROM y""")
+def trajectory_profiles(spark, sf):
+    seq = _crimes(spark, sf)
+    return rounded(R.profiles(seq, seq.select("entity", F.pmod("entity", F.lit(4)).cast("long").alias("type")).distinct()))
+
+
+@query(f"""WITH {SEQ}, h AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM seq), g AS (SELECT entity, mode_e, mode_l FROM
+    (SELECT entity, min(state) FILTER (WHERE pos <= n // 2) AS mode_e, min(state) FILTER (WHERE pos > n // 2) AS mode_l FROM h WHERE n >= 6 GROUP BY 1)),
+  c AS (SELECT mode_e AS early_type, mode_l AS late_type, count(*) AS n FROM g GROUP BY ALL) SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY early_type), 6) AS prob FROM c""")
+def trajectory_type_changes(spark, sf):
+    h = S.half_split(event_sequences(spark, sf)).where("n >= 6")
+    half = lambda early: h.where(F.col("early") == early).groupBy("entity").agg(F.min("state").alias("type"))
+    return rounded(R.type_changes(half(True), half(False)))
 
 
 @query(f"""WITH {SEQ}, h AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM seq)

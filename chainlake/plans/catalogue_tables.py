@@ -47,7 +47,7 @@ def clean_location(spark, sf):
     return _raw(spark).select("id", C.standardize_location(F.col("value")).alias("value"))
 
 
-@query(f"""WITH {VALUES} SELECT id, CASE WHEN lower(trim(value)) IN ('m', 'male', 'man') THEN 'Male' WHEN lower(trim(value)) IN ('f', 'female', 'woman') THEN 'Female' ELSE value END AS sex,
+@query(f"""WITH {VALUES} SELECT id, CASE WHEN lower(trim(value)) IN ('m', 'male') THEN 'Male' WHEN lower(trim(value)) IN ('f', 'female') THEN 'Female' ELSE value END AS sex,
   CASE WHEN lower(trim(value)) IN ('white', 'caucasian') THEN 'White' ELSE value END AS race FROM raw""")
 def clean_category(spark, sf):
     return _raw(spark).select("id", C.standardize_category(F.col("value"), C.SEXES).alias("sex"), C.standardize_category(F.col("value"), C.RACES).alias("race"))
