@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.common import THRESHOLD, U64, WordHashes, as_signed, hashed_words, mix, record_batches, shingle_hashes, stored, table
+from chainlake.llm.common import THRESHOLD, U64, WordHashes, as_signed, discard, hashed_words, mix, record_batches, shingle_hashes, stored, table
 
 #: 25 bands of 5 registers: a pair of weighted similarity 0.8 shares no band with probability 5e-5.
 BANDS, ROWS = 25, 5
@@ -194,8 +194,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = stored(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if new.where("old != label").isEmpty():
+            discard(both)
             return labels
 
 
@@ -236,7 +238,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     member = stored(member.join(open_, ["band", "key"]).select("band", "key", "rep", "label", "low"), "open")
     more = stored(blocked_links(member.drop("low"), bags, threshold), "links")
     if not more.isEmpty():
-        links = stored(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
+        star_links, links = links, stored(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
+        discard(star_links, label)
         label = components(links)
 
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
@@ -244,6 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     classes = classes.select("k1", "k2", "copies", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     classes = stored(classes.join(sizes, "class_id"), "classes")
+    discard(reps, shared, star, bags, member, more, links, label)
     return texts.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id", "class_size", "n_links")
 
 
