@@ -6,9 +6,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 THRESHOLD = 0.8
 WORD = re.compile(r"\w+")
+#: Between Spark and Python go batches of about so many bytes, and functions are handed about so many bytes of text at once.
+ARROW_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
@@ -40,6 +45,18 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches for Python stay at about ``ARROW_BYTES`` while a query runs; a task holds some of them beside Spark's heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -47,7 +64,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.stored_at = path
     return found
@@ -77,7 +95,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything when it has grown large."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -113,13 +131,27 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype=U64).view(np.int64)
 
 
+def runs(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of at most ``rows`` rows and, beyond one row, of about ``TEXT_BYTES`` bytes of text."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right"))
+        to = min(max(fit, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def record_batches(f: Callable[[dict[str, list]], dict[str, object]], schema: pa.Schema, rows: int = 512) -> Callable:
-    """A ``mapInArrow`` function that hands ``f`` python columns of at most ``rows`` rows at a time."""
+    """A ``mapInArrow`` function that hands ``f`` python columns of one of the ``runs`` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            for batch in runs(whole, rows):
                 out = f({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in schema], schema=schema)
 

@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.common import THRESHOLD, U64, WordHashes, as_signed, discard, hashed_words, mix, record_batches, shingle_hashes, stored, table
+from chainlake.llm.common import THRESHOLD, U64, WordHashes, as_signed, discard, hashed_words, mix, record_batches, runs, shingle_hashes, stored, table
 
 #: 25 bands of 5 registers: a pair of weighted similarity 0.8 shares no band with probability 5e-5.
 BANDS, ROWS = 25, 5
 #: A block of a bucket has about so many rows and bytes; its overlaps are counted so many tokens at a time.
-BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 512, 1 << 24, 4096
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 512, 1 << 22, 4096
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7)
 
 
@@ -115,7 +115,7 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs(whole, 4096)):
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             s = [overlap(p, q) for p, q in zip(x, y, strict=True)]
             keep = [i for i, v in enumerate(s) if v >= threshold]

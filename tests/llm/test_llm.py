@@ -6,10 +6,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chainlake.llm import classifiers, decontamination, fingerprints, licenses, line_dedup, mixing, near_dedup, secrets, token_output
+from chainlake.llm import classifiers, common, decontamination, fingerprints, licenses, line_dedup, mixing, near_dedup, secrets, token_output
 from chainlake.llm.common import WordHashes, hashed_words, shared_dir, shingle_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -288,3 +289,11 @@ def test_blocks_find_the_links_of_a_whole_bucket(spark, monkeypatch):
         got = [(r["a"], r["b"]) for r in near_dedup.blocked_links(members, bags, 0.8).collect()]
         assert set(got) <= set(want)
         assert classes(got) == classes(want)
+
+
+def test_runs_hold_all_rows_in_bounded_parts():
+    texts = ["x" * common.TEXT_BYTES, None, "", "y" * 10, "z" * (common.TEXT_BYTES - 5)] + ["w"] * 7
+    parts = list(common.runs(pa.RecordBatch.from_pydict({"text": texts, "n": list(range(12))}), 4))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows <= 4 and (p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= common.TEXT_BYTES) for p in parts)
+    assert list(common.runs(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), 4)) == []
