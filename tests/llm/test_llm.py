@@ -251,6 +251,28 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontamination.contained(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_small_items_in_long_texts_equal_brute_force(spark):
+    cache = WordHashes()
+    sets = lambda t: set(shingle_hashes(hashed_words(t, cache)).tolist())
+    rng = np.random.default_rng(7)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 3000))) for i in range(8)]
+    words = [t.split() for _, t in texts]
+    items = []
+    for n in [*range(5, 13), 16, 20]:
+        for _ in range(40):
+            at = int(rng.integers(0, 3000 - n))
+            items.append((len(items), " ".join(words[int(rng.integers(0, 8))][at : at + n])))
+        items.append((len(items), " ".join([*words[0][100 : 100 + n], "novel"])))
+    items += [(len(items), "a b c d e " * 4), (len(items) + 1, "w1 w2 w3 w4 w5 w6")]
+    texts.append((8, "x " * 500 + "a b c d e " * 9))
+    index = decontamination.ItemIndex(items)
+    got = {(t, i, round(s, 9)) for t, i, s in index.matches([hashed_words(t, cache) for _, t in texts])}
+    want = {(i, q, round(len(s & k) / len(k), 9)) for i, t in texts for s in [sets(t)] for q, x in items if (k := sets(x)) and len(s & k) / len(k) >= 0.8}
+    assert got == want and len(want) >= 400
+    df, things = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contained(df, things).collect()} == {x[:2] for x in want}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
