@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -11,6 +10,7 @@ from collections import deque
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from chainlake.llm.common import record_batches, table
@@ -25,8 +25,15 @@ _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _URL = re.compile(r"[A-Za-z0-9_.~+/=:;,?&@!$'()*-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:;,?&@!$'()*-]*)+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:[A-Za-z0-9_.~+/=:;,\"'\x20-]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))*[A-Za-z0-9_.~+/=:;,\"'-]*")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer is expanded to at most this many bytes, so that no small input can fill the memory.
-MAX_LAYER = 1 << 24
+_SEPARATOR = re.compile(r"[+/_-]")
+#: Where a gzip member or a zlib stream may start.
+_HEADER = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]")
+#: A compressed layer is expanded to its end, ``STEP`` bytes at once, and scanned in windows of at most ``WINDOW`` bytes.
+#: Windows overlap by ``OVERLAP`` bytes and what of an unbroken run lies before them, up to half a window.
+STEP = 1 << 20
+WINDOW = 1 << 24
+OVERLAP = 1 << 20
+_OUTSIDE = re.compile(rb"[^A-Za-z0-9_.~+/=:;,?&@!$'()*%\\-]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -41,59 +48,53 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _as_text(raw: bytes) -> str | None:
+def _texts(raw: bytes) -> list[str]:
+    """Readings of ``raw``: UTF-8, or else Latin-1, which keeps what is ASCII; with zero bytes, UTF-16 of both orders and places."""
     try:
-        text = raw.decode("utf-8")
+        out = [raw.decode("utf-8")]
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.95 * len(text) else None
-
-
-def _expanded(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b":
-        wbits = 31
-    elif len(raw) > 6 and raw[0] == 0x78 and raw[1] in (0x01, 0x5E, 0x9C, 0xDA):
-        wbits = 15
-    else:
-        return None
-    try:
-        return zlib.decompressobj(wbits).decompress(raw, MAX_LAYER)
-    except zlib.error:
-        return None
+        out = [raw.decode("latin-1")]
+    if b"\0" in raw:
+        out += [raw[at:].decode(codec, "replace") for codec in ("utf-16-le", "utf-16-be") for at in (0, 1)]
+    return [t for t in out if t]
 
 
 def _unescape(m: re.Match) -> str:
     return re.sub(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", lambda x: chr(int(x[1] or x[2], 16)), m[0]).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _unquote(m: re.Match) -> str | None:
-    return _as_text(re.sub(rb"%([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), m[0].encode("utf-8", "surrogatepass")))
+def _unquote(m: re.Match) -> bytes:
+    return re.sub(rb"%([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), m[0].encode("utf-8", "surrogatepass"))
 
 
-def _from_base64(m: re.Match) -> str | None:
-    body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    return _as_text(_expanded(raw) or raw)
+def _from_base64(m: re.Match):
+    """Bytes of the run, and of its rest after a separator: once per place modulo 4, which holds what later ones of it hold."""
+    body = m[0].rstrip("=")
+    starts = {0: 0}
+    for x in _SEPARATOR.finditer(body, 0, max(0, len(body) - 16)):
+        starts.setdefault(x.end() % 4, x.end())
+        if len(starts) == 4:
+            break
+    body = body.replace("-", "+").replace("_", "/")
+    for at in starts.values():
+        part = body[at : len(body) - ((len(body) - at) % 4 == 1)]
+        yield base64.b64decode(part + "=" * (-len(part) % 4))
 
 
 def layers(text: str):
-    """(start, end, decoded) of each encoded run of ``text``."""
+    """(start, end, decoded) of each encoded run of ``text``, decoded to text or bytes."""
     if "%" in text:
         for m in _URL.finditer(text):
-            if (out := _unquote(m)) is not None and out != m[0]:
-                yield m.start(), m.end(), out
+            yield m.start(), m.end(), _unquote(m)
     if "\\" in text:
         for m in _UNICODE.finditer(text):
             if (out := _unescape(m)) != m[0]:
                 yield m.start(), m.end(), out
+                if _HEADER.search(raw := out.encode("latin-1", "replace")):
+                    yield m.start(), m.end(), raw
     for m in _BASE64.finditer(text):
-        if (out := _from_base64(m)) is not None:
-            yield m.start(), m.end(), out
+        for raw in _from_base64(m):
+            yield m.start(), m.end(), raw
 
 
 @dataclass(frozen=True)
@@ -107,27 +108,126 @@ class Finding:
     value: str
 
 
+class _Streams:
+    """Compressed streams in bytes that come in blocks: each place with a header is tried, each stream expanded to its end."""
+
+    def __init__(self, scan: _Scan, start: int, end: int, depth: int, above: tuple[bytes, ...] = ()):
+        self.scan, self.at, self.above = scan, (start, end, depth), above
+        self.edge = b""
+        self.open: list[tuple[object, _Expanded]] = []
+
+    def feed(self, block: bytes) -> None:
+        self.open = [(d, x) for d, x in self.open if self._expand(d, x, block)]
+        data = self.edge + block
+        for m in _HEADER.finditer(data):
+            # A stream that expands to itself is not taken up again.
+            if (head := data[m.start() : m.start() + 256]) not in self.above:
+                d = zlib.decompressobj(31 if head[0] == 0x1F else 15)
+                x = _Expanded(self.scan, *self.at, (*self.above, head))
+                rest = memoryview(data)[m.start() :]
+                # Most false headers fail in the first bytes.
+                if self._expand(d, x, rest[:512]) and self._expand(d, x, rest[512:]):
+                    self.open.append((d, x))
+        self.edge = data[-1:]
+
+    def _expand(self, d, x: _Expanded, data) -> bool:
+        """Whether the stream goes on after ``data``."""
+        try:
+            while True:
+                out = d.decompress(data, STEP)
+                if out:
+                    x.feed(out)
+                data = d.unconsumed_tail
+                if d.eof or (not data and len(out) < STEP):
+                    break
+        except zlib.error:
+            x.close()
+            return False
+        if d.eof:
+            x.close()
+        return not d.eof
+
+    def close(self) -> None:
+        for _, x in self.open:
+            x.close()
+        self.open = []
+
+
+class _Expanded(_Streams):
+    """What a stream expands to: scanned in windows, and searched for streams itself."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.held = bytearray()
+        self.new = 0
+
+    def feed(self, block: bytes) -> None:
+        self.held += block
+        self.new += len(block)
+        if len(self.held) >= WINDOW:
+            self._scan()
+            keep = len(self.held) - OVERLAP
+            outside = next((i for i in range(keep, len(self.held) // 2, -1) if _OUTSIDE.match(self.held, i)), keep)
+            del self.held[:outside]
+        super().feed(block)
+
+    def _scan(self) -> None:
+        self.scan.take([(t, *self.at) for t in _texts(bytes(self.held))])
+        self.new = 0
+
+    def close(self) -> None:
+        if self.new:
+            self._scan()
+        self.held = bytearray()
+        super().close()
+
+
+class _Scan:
+    """Findings of one text. A layer seen before in it at the same span is not taken up again, so encodings that lead
+    back to themselves end."""
+
+    def __init__(self):
+        self.out: dict[tuple[int, int, str], Finding] = {}
+        self.seen: set[tuple[bytes, int, int]] = set()
+
+    def take(self, first: list[tuple[str, int | None, int, int]]) -> None:
+        """Scan layers (text, span in the outermost text or None, depth) and all that is encoded in them."""
+        work: deque[tuple[str, int | None, int, int]] = deque()
+
+        def add(layer: str, start: int | None, end: int, depth: int) -> None:
+            key = (xxhash.xxh3_128_digest(layer.encode("utf-8", "surrogatepass")), -1 if start is None else start, end)
+            if key not in self.seen:
+                self.seen.add(key)
+                work.append((layer, start, end, depth))
+
+        for x in first:
+            add(*x)
+        while work:
+            layer, start, end, depth = work.popleft()
+            for s, e, kind in base_spans(layer):
+                at = (s, e, kind) if start is None else (start, end, kind)
+                if at not in self.out or depth < self.out[at].depth:
+                    self.out[at] = Finding(kind, at[0], at[1], depth, layer[s:e])
+            for s, e, decoded in layers(layer):
+                span = (s, e) if start is None else (start, end)
+                if isinstance(decoded, str):
+                    add(decoded, *span, depth + 1)
+                    continue
+                for t in _texts(decoded):
+                    add(t, *span, depth + 1)
+                streams = _Streams(self, *span, depth + 1)
+                streams.feed(decoded)
+                streams.close()
+
+
 def scan_text(text: str | None) -> list[Finding]:
-    """All findings in ``text`` and in what is encoded in it, to any depth.
+    """All findings in ``text`` and in what is encoded or compressed in it, to any depth. NULL is empty.
 
-    The worklist holds (layer, span in the text, depth). A layer seen before in this text at the same span is not
-    taken up again, so encodings that lead back to themselves end. NULL is empty.
+    Compression counts with the encoding around it. Bytes that are no UTF-8 are read as Latin-1 and UTF-16.
     """
-    text = text or ""
-    out: dict[tuple[int, int, str], Finding] = {}
-    work: deque[tuple[str, int | None, int, int]] = deque([(text, None, 0, 0)])
-    seen: set[tuple[str, int, int]] = set()
-    while work:
-        layer, start, end, depth = work.popleft()
-        for s, e, kind in base_spans(layer):
-            at = (s, e, kind) if start is None else (start, end, kind)
-            out.setdefault(at, Finding(kind, at[0], at[1], depth, layer[s:e]))
-        for s, e, decoded in layers(layer):
-            span = (s, e) if start is None else (start, end)
-            if (key := (decoded, *span)) not in seen:
-                seen.add(key)
-                work.append((decoded, *span, depth + 1))
-    return sorted(out.values(), key=lambda f: (f.start, KINDS.index(f.kind), f.end))
+    scan = _Scan()
+    scan.take([(text or "", None, 0, 0)])
+    return sorted(scan.out.values(), key=lambda f: (f.start, KINDS.index(f.kind), f.end))
 
 
 def findings(docs: DataFrame) -> DataFrame:

@@ -193,6 +193,43 @@ def test_secrets():
     assert [(f.kind, f.start) for f in secrets.scan_text(text)] == [("assign", 0), ("access", 18), ("hex", 39)]
 
 
+def test_secrets_in_awkward_layers(monkeypatch):
+    import gzip
+    from urllib.parse import quote
+
+    b64 = lambda raw: secrets.base64.b64encode(raw).decode()
+    inner = b"password=hunter22secret"
+    filler = "é word ".encode() * 50
+    texts = {
+        "later member": b64(gzip.compress(b"nothing") + gzip.compress(inner)),
+        "Latin-1": b64("caf\xe9 password=hunter22 caf\xe9".encode("latin-1")),
+        "UTF-16": b64("password=hunter22 é".encode("utf-16")),
+        "UTF-16 BE": b64("password=hunter22 é".encode("utf-16-be")),
+        "percent": "see caf%E9%20password%3Dhunter22",
+        "not printable": b64(bytes(range(30)) + b" password=hunter22"),
+        "compressed, percent": "data=" + quote(zlib.compress(inner)),
+        "compressed, backslash": "".join(f"\\x{b:02x}" for b in zlib.compress(inner)),
+        "compressed twice": b64(gzip.compress(zlib.compress(inner))),
+        "truncated": b64(zlib.compress(inner + filler)[:-6]),
+    }
+    texts |= {f"prefix {x}": x + b64(b"my password=hunter22 is long") for x in ("https://host/a/", "ab-", "key_", "abcde-f/")}
+    texts |= {f"compressed behind {x}": x + b64(gzip.compress(inner)) for x in ("a/", "ab-", "abc_", "abcd/")}
+    for name, text in texts.items():
+        assert "assign" in {f.kind for f in secrets.scan_text(text) if f.depth > 0}, name
+    for step, window, overlap in ((64, 1024, 128), (1000, 4096, 1000)):
+        for name, size in (("STEP", step), ("WINDOW", window), ("OVERLAP", overlap)):
+            monkeypatch.setattr(secrets, name, size)
+        for before in range(0, 9000, 271):
+            raw = (filler * 30)[:before] + b" " + inner + b" " + filler * 20
+            assert "assign" in {f.kind for f in secrets.scan_text(b64(zlib.compress(raw)))}, before
+    assert secrets.scan_text("%25" * 3000) == []
+
+
+def test_secret_behind_sixteen_megabytes():
+    raw = ("é" * (1 << 20) * 9).encode() + b" password=hunter22secret"
+    assert [f.kind for f in secrets.scan_text(secrets.base64.b64encode(zlib.compress(raw)).decode())] == ["assign"]
+
+
 def test_secret_query(spark):
     got = secrets.op7_secret_scan(spark, SF)
     assert got.count() == 200 and got.agg(F.sum("n_hex")).first()[0] >= 0
