@@ -238,7 +238,7 @@ def nearest_prototype(spark, sf):
   s AS (SELECT id, label, max(d) FILTER (WHERE label = other) AS a, min(d) FILTER (WHERE label <> other) AS b FROM p GROUP BY ALL)
   SELECT label, round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette, count(*) AS n FROM s GROUP BY 1""")
 def silhouette_exact(spark, sf):
-    return rounded(K.silhouette(vectors(spark, sf).where("id < 500")), 5)
+    return rounded(K.silhouette(vectors(spark, sf)), 5)
 
 
 @query(f"""WITH {VEC}, m AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(x) AS x FROM dims GROUP BY 1)), s AS (SELECT label, count(*) AS n, any_value(c) AS c, sum(d * d) AS within FROM dist GROUP BY 1)
