@@ -1,4 +1,6 @@
-"""Mixing sources to target weights: blocks of words, multinomial shard counts, index permutations, a join by index.
+"""Mixing sources to target weights: blocks of words, index permutations, a join by index.
+
+Each slot is given a shard too, but no output is assembled by shard.
 
 Everything runs on DataFrame functions. Only one row per source ever reaches the driver.
 """
