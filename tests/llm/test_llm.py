@@ -92,24 +92,6 @@ def test_targets_by_hand():
     assert mixing.targets([], []) == [] and mixing.targets([0], [3.0]) == [0]
 
 
-def test_mixing(spark, odd, empty, docs):
-    for df in (odd, docs):
-        got = [r.asDict() for r in mixing.taken_words(df).collect()]
-        sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in df.select("text").collect()]
-        assert sorted(r["size"] for r in got) == sorted(sizes)
-        assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-        assert sorted(map(str, got)) == sorted(str(r.asDict()) for r in mixing.taken_words(df).collect())
-    by = defaultdict(lambda: [0, 0.0])
-    for r in mixing.taken_words(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
-        by[r["source"]][0] += r["taken"]
-        by[r["source"]][1] = r["target"]
-    assert all(abs(t - g) <= 0.02 * g + 2 for t, g in by.values())
-    words = mixing.mixed(docs).select(F.sum(F.regexp_count("text", F.lit(mixing.TOKEN)))).first()[0]
-    assert words == mixing.taken_words(docs).agg(F.sum("taken")).first()[0]
-    assert mixing.mixed(odd).columns == odd.columns
-    assert mixing.taken_words(empty).count() == 0 and mixing.mixed(empty).count() == 0
-
-
 def brute_classes(rows):
     cache = WordHashes()
     bags = [set(np.frombuffer(near_dedup.expanded(*near_dedup.bag(t, cache)), np.uint32).tolist()) for _, t in rows]
