@@ -78,24 +78,28 @@ def content_keys(text: str | None, cache: WordHashes) -> tuple[int, int]:
 
 
 def expanded(elements: np.ndarray, counts: np.ndarray) -> bytes:
-    """The multiset as a sorted set of 32-bit hashes of (shingle, occurrence): overlaps of multisets are set overlaps."""
+    """The multiset as a sorted set of 64-bit hashes of (shingle, occurrence): overlaps of multisets are set overlaps."""
     at = np.repeat(elements, counts)
     nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.unique((mix(at + nth.astype(U64) * _C2) >> U64(32)).astype(np.uint32)).tobytes()
+    return np.unique(mix(at + nth.astype(U64) * _C2)).tobytes()
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """The weighted Jaccard similarity of two expanded multisets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """The weighted Jaccard similarity of two expanded multisets, each sorted and distinct."""
     if not len(x) or not len(y):
         return 0.0
-    both = len(x) + len(y) - len(np.union1d(x, y))
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
     return both / (len(x) + len(y) - both)
 
 
 def signed_texts(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, k1, k2 (content key) and the band keys of every row; no bands for a text without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, t1, t2 (hashes of the text as it is), k1, k2 (content key) and the band keys of every row.
+
+    A text without words has no bands.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
     cache = WordHashes()
 
     def f(c: dict[str, list]) -> dict[str, object]:
@@ -104,24 +108,43 @@ def signed_texts(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
         sizes = [len(e) for e, _ in bags]
         reg = signatures(np.concatenate([e for e, _ in bags]), np.concatenate([w for _, w in bags]), np.repeat(np.arange(len(bags)), sizes), len(bags), bands * rows)
         band = as_signed(band_keys(reg, bands, rows))
-        return {"doc_id": c["doc_id"], "k1": [k for k, _ in keys], "k2": [k for _, k in keys], "bands": [b.tolist() if n else [] for b, n in zip(band, sizes, strict=True)]}
+        return {n: c[n] for n in ("doc_id", "t1", "t2")} | {"k1": [k for k, _ in keys], "k2": [k for _, k in keys], "bands": [b.tolist() if n else [] for b, n in zip(band, sizes, strict=True)]}
+
+    return docs.select("doc_id", *text_marks(), "text").mapInArrow(record_batches(f, schema, 256), "doc_id long, t1 long, t2 long, k1 long, k2 long, bands array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(record_batches(f, schema, 256), "doc_id long, k1 long, k2 long, bands array<long>")
 
+def text_marks() -> list:
+    """Two hashes that tell texts apart; NULL has its own."""
+    return [F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2")]
 
-def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multiset overlap is at least ``threshold``, with it as ``similarity``."""
-    both = pairs.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b")
+
+def verified(stars: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of the pairs (centre, rep) whose multiset overlap is at least ``threshold``; a < b.
+
+    A centre's partners are dealt into blocks of about ``BLOCK_ROWS``, and its bag goes to each block once, not to each
+    pair. A task reads blocks one after the other, the centre's bag first.
+    """
+    size = stars.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = stars.join(size, "centre").select("centre", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    heads = dealt.select("centre", "block").distinct()
+    heads = heads.join(bags.withColumnRenamed("rep", "centre"), "centre").select("centre", "block", F.lit(None).cast("long").alias("rep"), "bag")
+    rows = heads.unionByName(dealt.join(bags, "rep").select("centre", "block", "rep", "bag"))
+    rows = rows.repartition("centre", "block").sortWithinPartitions("centre", "block", F.col("rep").asc_nulls_first())
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, U64)
         for batch in (part for whole in batches for part in runs(whole, 4096)):
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            s = [overlap(p, q) for p, q in zip(x, y, strict=True)]
-            keep = [i for i, v in enumerate(s) if v >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], type=t.type) for v, t in zip((a, b, s), schema, strict=True)], schema=schema)
+            found: list[tuple[int, int, float]] = []
+            for centre, rep, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                own = np.frombuffer(raw.as_buffer(), U64) if raw.is_valid else np.empty(0, U64)
+                if rep is None:
+                    held = own.copy()
+                elif (s := overlap(held, own)) >= threshold:
+                    found.append((min(centre, rep), max(centre, rep), s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=t.type) for k, t in enumerate(schema)], schema=schema)
 
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(f, "a long, b long, similarity double")
+    return rows.mapInArrow(f, "a long, b long, similarity double")
 
 
 def block_links(bags: list[bytes], labels: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
@@ -130,7 +153,7 @@ def block_links(bags: list[bytes], labels: np.ndarray, first: np.ndarray, second
     Overlaps of all pairs come from products of 0/1 matrices over the tokens that two rows share, some columns at a
     time; the pairs themselves are never listed.
     """
-    sets = [np.frombuffer(b, np.uint32) for b in bags]
+    sets = [np.frombuffer(b, U64) for b in bags]
     size = np.array([len(x) for x in sets], np.float64)
     owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -162,12 +185,11 @@ def blocked_links(members: DataFrame, bags: DataFrame, threshold: float) -> Data
     A bucket is dealt by hash into blocks of about ``BLOCK_ROWS`` rows and ``BLOCK_BYTES`` bytes, and each two blocks
     are one task's group, so that a bucket of any size has groups of bounded size, and only links leave them.
     """
-    named = bags.select(F.col("doc_id").alias("rep"), "bag")
-    size = members.join(named.select("rep", F.length("bag").alias("bytes")), "rep").groupBy("band", "key")
+    size = members.join(bags.select("rep", F.length("bag").alias("bytes")), "rep").groupBy("band", "key")
     size = size.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     rows = members.join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", "rep", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(named, "rep")
+    rows = rows.select("band", "key", "rep", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(bags, "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def f(t: pa.Table) -> pa.Table:
@@ -207,55 +229,87 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     A class is a connected component of links; two texts are linked if their five-word shingle multisets overlap by
     ``threshold`` or more (weighted Jaccard), or if their words are the same. Texts without a word are linked only to
     equal texts; NULL counts as empty. ``n_links`` counts verified links of the row's distinct text to others that
-    were needed to find the class. NULL doc_ids and repeated rows are kept as rows of their class.
-
-    Copies meet in one aggregation and go on as one representative. A band's bucket is a star: its smallest and its
-    largest member are compared with the others, so a bucket of n texts gives 2n pairs. Buckets whose members end in
-    more than one component are then compared whole, block by block, and only links come out (``blocked_links``).
+    were needed to find the class. NULL doc_ids and repeated rows are rows of their texts' classes. A class all of whose
+    doc_ids are NULL, and a class whose smallest doc_id another class has too (rows of one doc_id with unlike texts),
+    take a negative class_id from their smallest content key; among the latter that of the smallest key keeps the doc_id.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
+
+    Copies meet in one aggregation and go on as one representative, named by a number of its own. A band's bucket is a
+    star: its smallest and its largest member are compared with the others, so a bucket of n texts gives 2n pairs. Buckets
+    whose members end in more than one component are then compared whole, block by block, and only links come out
+    (``blocked_links``).
     """
+    return classified(docs, threshold, bands, rows).select("doc_id", "class_id", "class_size", "n_links")
+
+
+def classified(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``near_duplicates`` with t1 and t2 of every row."""
     texts = stored(signed_texts(docs, bands, rows), "signatures")
-    reps = stored(texts.groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "reps")
+    reps = texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("row"))
+    # Numbers are unique in the table as written, and are read from it ever after.
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     band = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     bucket = band.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     shared = stored(band.join(bucket, ["band", "key"]), "buckets")
-    star = shared.select(F.col("first").alias("a"), F.col("rep").alias("b")).unionByName(shared.select(F.col("rep").alias("a"), F.col("last").alias("b"))).where("a < b").distinct()
+    star = shared.select(F.col("first").alias("centre"), "rep").unionByName(shared.where("rep != first").select(F.col("last").alias("centre"), "rep")).where("centre != rep").distinct()
     star = stored(star, "pairs")
-    wanted = shared.select("rep").distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("bag", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("bag", pa.binary())])
     cache = WordHashes()
 
     def f(c: dict[str, list]) -> dict[str, object]:
-        return {"doc_id": c["doc_id"], "bag": [expanded(*bag(t, cache)) for t in c["text"]]}
-
-    named = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
-    bags = named.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bags = stored(bags.mapInArrow(record_batches(f, schema, 256), "doc_id long, bag binary"), "bags")
-    links = stored(verified(star, bags, threshold), "links")
+        return {"rep": c["rep"], "bag": [expanded(*bag(t, cache)) for t in c["text"]]}
+
+    # Of each wanted text the row of its smallest doc_id, so copies do not meet in one task.
+    wanted = stored(reps.join(shared.select("rep").distinct(), "rep").select("rep", F.col("row.doc_id").alias("least"), "row.t1", "row.t2"), "wanted")
+    marked = docs.select("doc_id", *text_marks(), "text").alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.least AND d.t1 = w.t1 AND d.t2 = w.t2"))
+    marked = marked.select("rep", "text").dropDuplicates(["rep"])
+    bags = stored(marked.mapInArrow(record_batches(f, schema, 256), "rep long, bag binary"), "bags")
+    links = stored(verified(star, bags, threshold).dropDuplicates(["a", "b"]), "links")
     label = components(links)
 
     member = shared.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = member.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key", "low")
-    member = stored(member.join(open_, ["band", "key"]).select("band", "key", "rep", "label", "low"), "open")
-    more = stored(blocked_links(member.drop("low"), bags, threshold), "links")
+    open_ = member.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
+    member = stored(member.join(open_, ["band", "key"]).select("band", "key", "rep", "label"), "open")
+    more = stored(blocked_links(member, bags, threshold), "links")
     if not more.isEmpty():
         star_links, links = links, stored(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
         discard(star_links, label)
         label = components(links)
 
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = reps.select("k1", "k2", "rep", "copies").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
-    classes = classes.select("k1", "k2", "copies", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = stored(classes.join(sizes, "class_id"), "classes")
-    discard(reps, shared, star, bags, member, more, links, label)
-    return texts.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id", "class_size", "n_links")
+    members = reps.select("k1", "k2", "rep", "copies", "least").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
+    members = members.select("k1", "k2", "copies", "least", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sizes = stored(members.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min("least").alias("least"), F.min(F.struct("k1", "k2")).alias("key")), "sizes")
+    owner = sizes.groupBy("least").agg(F.min("key").alias("owner"))
+    own = F.col("least").isNotNull() & (F.col("key") == F.col("owner"))
+    named = sizes.join(owner.withColumnRenamed("least", "owned"), F.col("least").eqNullSafe(F.col("owned")))
+    named = named.select("label", "class_size", F.when(own, F.col("least")).otherwise(-1 - F.xxhash64("key").bitwiseAND((1 << 62) - 1)).alias("class_id"))
+    classes = stored(members.join(named, "label").select("k1", "k2", "class_id", "class_size", "n_links"), "classes")
+    discard(reps, shared, star, wanted, bags, member, more, links, label, sizes)
+    return texts.join(classes, ["k1", "k2"]).select("doc_id", "t1", "t2", "class_id", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose class has a smaller doc_id."""
-    found = near_duplicates(docs, threshold)
-    drop = found.where("doc_id != class_id").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(drop, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    """``docs`` with one row of each class: that with the smallest doc_id (NULL after all others).
+
+    Rows of that doc_id in the class are told apart by their text's hash; of rows equal in doc_id and text, of which a
+    class may hold many, any one stays. Columns keep their names, whatever these are; an empty table stays empty.
+    """
+    rows = classified(docs, threshold).groupBy("class_id", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("times"))
+    rows = stored(rows, "fates")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    kept = rows.groupBy("class_id").agg(F.min(order).alias("kept"))
+    fate = rows.join(kept, "class_id").where((F.col("times") > 1) | (order != F.col("kept"))).select("doc_id", "t1", "t2", order.eqNullSafe(F.col("kept")).alias("stays"))
+    # Rows without a fate stay. The list is stored, so the planner sends it to all tasks only if it is known to be small.
+    fate = stored(fate.select(*[F.col(c).alias(f"fate_{c}") for c in ("doc_id", "t1", "t2")], "stays"), "fates")
+    marks = [F.col("doc_id").alias("own_doc_id"), *(m.alias(f"own_{n}") for m, n in zip(text_marks(), ("t1", "t2"), strict=True))]
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *marks)
+    same = [F.col(f"own_{c}").eqNullSafe(F.col(f"fate_{c}")) for c in ("doc_id", "t1", "t2")]
+    joined = wrapped.join(fate, same, "left")
+    out = joined.where(F.col("stays").isNull())
+    if not fate.where("stays").isEmpty():
+        out = out.unionByName(joined.where("stays").dropDuplicates(["own_doc_id", "own_t1", "own_t2"]))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,33 +92,6 @@ def test_targets_by_hand():
     assert mixing.targets([], []) == [] and mixing.targets([0], [3.0]) == [0]
 
 
-def brute_classes(rows):
-    cache = WordHashes()
-    bags = [set(np.frombuffer(near_dedup.expanded(*near_dedup.bag(t, cache)), np.uint32).tolist()) for _, t in rows]
-    keys = [near_dedup.content_keys(t, cache) for _, t in rows]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            u = len(bags[i] | bags[j])
-            if keys[i] == keys[j] or u and len(bags[i] & bags[j]) / u >= 0.8:
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
-    return {r[0]: min(q[0] for q, k in zip(rows, label, strict=True) if k == x) for r, x in zip(rows, label, strict=True)}
-
-
-def test_near_dedup(spark, odd, empty, docs):
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
-    chain = [f"chain{i}" for i in range(100)]
-    for i in range(12):  # each near to the next, the ends far apart
-        rows.append((10_000 + i, " ".join(chain)))
-        chain[3 + 8 * i % 97] = f"other{i}"
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == brute_classes(rows)
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(odd).collect()}
-    assert got[2] == 1 and got[6] == 5 and got[3] == got[4] == 3 and got[9] == 9
-    assert near_dedup.near_duplicates(empty).count() == 0
-
-
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 60).astype(np.uint64)
@@ -268,15 +241,15 @@ def test_blocks_find_the_links_of_a_whole_bucket(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    base = np.arange(100, dtype=np.uint32)
+    base = np.arange(100, dtype=np.uint64)
     sets = []
     for _ in range(60):
         s = base.copy()
         s[rng.choice(100, rng.integers(0, 25), replace=False)] = rng.integers(1000, 2**31, 1)
         sets.append(np.unique(s).tobytes())
     members = spark.createDataFrame([(0, 7, i, i) for i in range(60)], "band int, key long, rep long, label long")
-    bags = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(sets)], "doc_id long, bag binary")
-    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if near_dedup.overlap(sets[i], sets[j]) >= 0.8]
+    bags = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(sets)], "rep long, bag binary")
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if near_dedup.overlap(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64)) >= 0.8]
 
     def classes(pairs):
         label = list(range(60))
