@@ -65,14 +65,13 @@ def band_keys(reg: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key
 
 
-def bag(text: str | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct five-word shingles of a whole text and how often each occurs."""
-    return np.unique(shingle_hashes(hashed_words(text, cache)), return_counts=True)
+def bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct five-word shingles of a whole text, given its hashed words, and how often each occurs."""
+    return np.unique(shingle_hashes(words), return_counts=True)
 
 
-def content_keys(text: str | None, cache: WordHashes) -> tuple[int, int]:
+def content_keys(text: str | None, words: np.ndarray) -> tuple[int, int]:
     """128 bits that are equal for texts with the same words; without words, for equal texts. NULL is empty."""
-    words = hashed_words(text, cache)
     h = xxhash.xxh3_128_intdigest(words.tobytes() if len(words) else b"\0" + (text or "").encode("utf-8", "surrogatepass"))
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
@@ -103,8 +102,9 @@ def signed_texts(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     cache = WordHashes()
 
     def f(c: dict[str, list]) -> dict[str, object]:
-        bags = [bag(t, cache) for t in c["text"]]
-        keys = [content_keys(t, cache) for t in c["text"]]
+        words = [hashed_words(t, cache) for t in c["text"]]
+        bags = [bag(w) for w in words]
+        keys = [content_keys(t, w) for t, w in zip(c["text"], words, strict=True)]
         sizes = [len(e) for e, _ in bags]
         reg = signatures(np.concatenate([e for e, _ in bags]), np.concatenate([w for _, w in bags]), np.repeat(np.arange(len(bags)), sizes), len(bags), bands * rows)
         band = as_signed(band_keys(reg, bands, rows))
@@ -257,7 +257,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     cache = WordHashes()
 
     def f(c: dict[str, list]) -> dict[str, object]:
-        return {"rep": c["rep"], "bag": [expanded(*bag(t, cache)) for t in c["text"]]}
+        return {"rep": c["rep"], "bag": [expanded(*bag(hashed_words(t, cache))) for t in c["text"]]}
 
     # Of each wanted text the row of its smallest doc_id, so copies do not meet in one task.
     wanted = stored(reps.join(shared.select("rep").distinct(), "rep").select("rep", F.col("row.doc_id").alias("least"), "row.t1", "row.t2"), "wanted")
