@@ -1,4 +1,4 @@
-"""What the operators share: table reading, shared storage, words, shingles and ordered shards."""
+"""What the operators share: table reading, shared storage, words and shingles."""
 
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -158,23 +157,13 @@ def record_batches(f: Callable[[dict[str, list]], dict[str, object]], schema: pa
     return run
 
 
-def cut_points(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n-1 values of an integer key that cut the table into about equal ranges."""
-    if n < 2:
-        return []
-    found = df.select(F.col(key).cast("double")).stat.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n if n < 1000 else 0.0002)
-    return sorted({int(x) for x in found})
+def rows_kept(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray], rows: int) -> DataFrame:
+    """``docs`` without the rows for whose texts ``keep`` is false, in the map stage; columns may have any names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index("text")
 
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in runs(whole, rows)):
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
-def shard_of(key: Column, cuts: list[int]) -> Column:
-    """The number of cut points up to the key; NULL keys come first."""
-    if not cuts:
-        return F.lit(0)
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return F.when(key.isNull(), F.lit(0)).otherwise(build(0, len(cuts)))
+    return plain.mapInArrow(f, plain.schema).toDF(*docs.columns)

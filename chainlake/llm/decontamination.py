@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from chainlake.llm.common import SHINGLE, THRESHOLD, U64, WordHashes, hashed_words, mix, record_batches, shingle_hashes, table
+from chainlake.llm.common import SHINGLE, THRESHOLD, U64, WordHashes, hashed_words, mix, record_batches, rows_kept, shingle_hashes, table
 
 #: Hash functions of a signature. A window of 2S shingles that holds 0.8 of an item of n is missed with probability 5e-7
 #: for n = S and up to 1.2e-3 for n just above S/2; one that holds all of it with 2e-10 and up to 1e-4.
@@ -161,10 +160,24 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, h
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, containment double")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    hit = contained(docs, items, threshold).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES) -> DataFrame:
+    """``docs`` without the rows that hold an item, in the map stage: no row is shuffled, whatever its other columns.
+
+    Rows without a text stay, and repeated rows stay or go alike. Blocks of items follow each other in one pass.
+    """
+    for block in item_blocks(items):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        built: dict[str, ItemIndex] = {}
+        cache = WordHashes()
+
+        def clean(texts, sent=sent, built=built, cache=cache):
+            index = built.get("index") or built.setdefault("index", ItemIndex(sent.value, hashes, threshold))
+            out = np.ones(len(texts), bool)
+            out[[t for t, _, _ in index.matches([hashed_words(t, cache) for t in texts])]] = False
+            return out
+
+        docs = rows_kept(docs, clean, 512)
+    return docs
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

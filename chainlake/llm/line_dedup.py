@@ -17,16 +17,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.common import U64, mix, record_batches, stored, table
+from chainlake.llm.common import U64, discard, mix, record_batches, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SPACE = b" \t\n\x0b\x0c\r"
-#: Keys of a shard's filter at first; filters are sent to the tasks only up to so many bytes in all.
-SHARD_KEYS, SENT_BYTES = 16_384, 64 << 20
-_NO_ID = -(1 << 63)
+#: A shard's filter has at most so many keys before there are more shards; a task looks up about so many postings of a shard.
+SHARD_KEYS, SHARD_POSTINGS = 16_384, 1 << 20
 
 
 class CuckooFilter:
@@ -111,15 +110,20 @@ def lines_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
+def own_id() -> Column:
+    """doc_id; a row without one is a document of its own, told apart by its text, with an id below -2**62."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)) + F.xxhash64("text").bitwiseAND((1 << 62) - 1))
+
+
 def postings_of(docs: DataFrame) -> DataFrame:
-    """Distinct (k1, k2, doc_id) of the long lines of every row; NULL ids count as one document."""
+    """Distinct (k1, k2, doc_id) of the long lines of every row."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64())])
 
     def f(c: dict[str, list]) -> dict[str, object]:
-        rows = [(*k, _NO_ID if d is None else d) for d, t in zip(c["doc_id"], c["text"], strict=True) for k in {line_key(x) for x in lines_of(t)} - {None}]
+        rows = [(*k, d) for d, t in zip(c["doc_id"], c["text"], strict=True) for k in {line_key(x) for x in lines_of(t)} - {None}]
         return dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in schema.names}
 
-    return docs.select("doc_id", "text").mapInArrow(record_batches(f, schema), "k1 long, k2 long, doc_id long")
+    return docs.select(own_id().alias("doc_id"), "text").mapInArrow(record_batches(f, schema), "k1 long, k2 long, doc_id long")
 
 
 @dataclass
@@ -148,31 +152,42 @@ class LineStore:
         delta = new.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("more"), F.max("doc_id").alias("last"))
         if not self.shards:
             refs = stored(delta.select("k1", "k2", F.col("more").alias("n_docs"), F.col("last").alias("keeper")), "refs")
-            hot = refs.where(F.col("n_docs") >= self.min_docs).count()
-            # As many shards as keep each filter at the size of SHARD_KEYS or below.
-            shards = max(1, -(-hot // (SHARD_KEYS // 2)))
-            return LineStore(new, refs, self._updated(refs, None, shards), shards, self.min_docs)
+            return self._after(new, refs)
         refs = self.refs.join(delta, ["k1", "k2"], "full").select(
             "k1", "k2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("keeper", "last").alias("keeper")
         )
         refs = stored(refs, "refs")
-        return LineStore(stored(self.postings.unionByName(new), "postings"), refs, self._updated(refs, self.refs, self.shards), self.shards, self.min_docs)
+        postings = stored(self.postings.unionByName(new), "postings")
+        discard(new)
+        return self._after(postings, refs)
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
-        """``doc_ids`` has a column doc_id; ids that the store does not hold change nothing."""
-        ids = doc_ids.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id")).distinct()
+        """``doc_ids`` has a column doc_id; ids that the store does not hold, and NULL, change nothing.
+
+        Rows inserted without an id go by the id that ``own_id`` gave them.
+        """
+        ids = doc_ids.select("doc_id").distinct()
         gone = stored(self.postings.join(ids, "doc_id", "left_semi"), "gone-lines")
         postings = stored(self.postings.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "postings")
         touched = gone.select("k1", "k2").distinct()
         anew = postings.join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         refs = stored(self.refs.join(touched, ["k1", "k2"], "left_anti").unionByName(anew), "refs")
-        return LineStore(postings, refs, self._updated(refs, self.refs, self.shards), self.shards, self.min_docs)
+        discard(gone)
+        return self._after(postings, refs)
+
+    def _after(self, postings: DataFrame, refs: DataFrame) -> LineStore:
+        """The store with these postings and counts. Filters that would pass ``SHARD_KEYS`` are built anew, in more shards."""
+        hot = refs.where(F.col("n_docs") >= self.min_docs).count()
+        if not self.shards or hot > self.shards * SHARD_KEYS:
+            shards = max(1, -(-hot // (SHARD_KEYS // 2)))
+            return LineStore(postings, refs, self._updated(self.filters.limit(0), refs, None, shards), shards, self.min_docs)
+        return LineStore(postings, refs, self._updated(self.filters, refs, self.refs, self.shards), self.shards, self.min_docs)
 
     def _shard(self, shards: int):
         return F.pmod(F.col("k1"), F.lit(shards)).cast("int").alias("shard")
 
-    def _updated(self, refs: DataFrame, before: DataFrame | None, shards: int) -> DataFrame:
-        """The filters with the keys that reached the limit put in and those that fell below it taken out."""
+    def _updated(self, filters: DataFrame, refs: DataFrame, before: DataFrame | None, shards: int) -> DataFrame:
+        """``filters`` with the keys that reached the limit put in and those that fell below it taken out."""
         limit = self.min_docs
         now = refs.where(F.col("n_docs") >= limit).select("k1", "k2", F.lit(1).alias("now"))
         if before is None:
@@ -197,29 +212,40 @@ class LineStore:
                 ok = filt.insert(k[now])
             return pd.DataFrame({"shard": [shard], "slots": [filt.to_bytes()]})
 
-        found = self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(update, "shard int, slots binary")
+        found = filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(update, "shard int, slots binary")
         return stored(found, "filters")
 
     def maybe_repeated(self, postings: DataFrame) -> DataFrame:
-        """``postings`` without the rows that the filters rule out. Filters too large to send leave all rows."""
-        size = self.filters.agg(F.coalesce(F.sum(F.length("slots")), F.lit(0))).first()[0]
-        if size > SENT_BYTES:
-            return postings
-        sent = postings.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["slots"]) for r in self.filters.collect()})
-        shards = self.shards
+        """``postings`` without the rows that the filters rule out.
+
+        Each shard's postings are dealt by doc_id into parts of about ``SHARD_POSTINGS``, and a part gets its shard's filter
+        and then the postings, so that filters of any total size meet postings of any number, and a hot line is spread.
+        """
+        shard = self._shard(self.shards)
+        rows = postings.select("k1", "k2", "doc_id", shard)
+        parts = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_POSTINGS).cast("int").alias("parts"))
+        none = lambda t, n: F.lit(None).cast(t).alias(n)
+        sent = self.filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none("long", "k1"), none("long", "k2"), none("long", "doc_id"), "slots")
+        asked = rows.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "k1", "k2", "doc_id", none("binary", "slots"))
+        both = sent.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("k2").asc_nulls_first())
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter.from_bytes(raw) for s, raw in sent.value.items()}
+            at, filt = None, None
             for batch in batches:
-                k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-                keep = np.zeros(len(k1), bool)
-                shard = np.mod(k1, shards)
-                for s, filt in filters.items():
-                    at = np.flatnonzero(shard == s)
-                    keep[at] = filt.contains(k2[at])
-                yield batch.filter(pa.array(keep))
-
-        return postings.select("k1", "k2", "doc_id").mapInArrow(f, "k1 long, k2 long, doc_id long")
+                shard, part = batch.column("shard").to_numpy(), batch.column("part").to_numpy()
+                cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1).tolist(), batch.num_rows]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    group = batch.slice(lo, hi - lo)
+                    if hi > lo and (key := (shard[lo], part[lo])) != at:
+                        at = key
+                        raw = group.column("slots")[0]
+                        filt = CuckooFilter.from_bytes(raw.as_buffer()) if raw.is_valid else None
+                        group = group.slice(1 if filt else 0)
+                    if filt is not None and group.num_rows:
+                        k2 = group.column("k2").to_numpy()
+                        yield group.select(["k1", "k2", "doc_id"]).filter(pa.array(filt.contains(k2)))
+
+        return both.mapInArrow(f, "k1 long, k2 long, doc_id long")
 
     def drops(self) -> DataFrame:
         """doc_id and ``keys``, the keys whose lines the document loses."""
@@ -231,8 +257,9 @@ class LineStore:
 def deduped(docs: DataFrame, store: LineStore) -> DataFrame:
     """doc_id, n_lines, n_dropped and ``kept`` (the text without the dropped lines) of every row of ``docs``.
 
-    A NULL or empty text is one empty line. Rows of equal doc_id are one document with the lines of all. The dropped
-    keys of a document are at most its lines. Other columns are ignored.
+    A NULL or empty text is one empty line. Rows of equal doc_id are one document with the lines of all; rows without a
+    doc_id are documents of their own, told apart by their text, below all ids. The dropped keys of a document are at most
+    its lines. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
 
@@ -246,7 +273,7 @@ def deduped(docs: DataFrame, store: LineStore) -> DataFrame:
                 out[n].append(v)
         return out
 
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("at")).join(store.drops().withColumnRenamed("doc_id", "at"), "at", "left").select("doc_id", "text", "keys")
+    rows = docs.select("doc_id", "text", own_id().alias("at")).join(store.drops().withColumnRenamed("doc_id", "at"), "at", "left").select("doc_id", "text", "keys")
     return rows.mapInArrow(record_batches(f, schema), "doc_id long, n_lines long, n_dropped long, kept string")
 
 

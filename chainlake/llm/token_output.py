@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.llm.common import cut_points, n_partitions, shard_of, shared_dir, table
+from chainlake.llm.common import n_partitions, runs, shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -163,7 +163,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, n_shards: int | None
     """Encode ``doc_id, text`` and write the format above, shards in ascending order of doc_id.
 
     A NULL text is empty: its ids are the end id alone. Rows with NULL doc_id come first; repeated doc_ids keep all
-    their rows, ordered by text. Other columns are ignored. An empty table gives no block. One shuffle moves the
+    their rows, ordered by a hash of the text, then by text. Other columns are ignored. An empty table gives no block. One shuffle moves the
     texts; each task holds one Arrow batch and one block.
     """
     spark = df.sparkSession
@@ -172,7 +172,6 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, n_shards: int | None
     dictionary = train_dictionary(docs, tokenizer)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(dict_hash, bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    cuts = cut_points(docs, "doc_id", n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
@@ -189,8 +188,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, n_shards: int | None
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, _ARROW_BLOCK, strict=True)], schema=_ARROW_BLOCK)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in runs(whole, 256):
                 for doc_id, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                     ids.append(doc_id)
                     counts.append(len(coded) // 4)
@@ -203,12 +201,10 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, n_shards: int | None
         if ids:
             yield close()
 
-    (
-        docs.repartitionById(len(cuts) + 1, shard_of(F.col("doc_id"), cuts).cast("int"))
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(encode, _BLOCK)
-        .write.parquet(f"{path}/blocks")
-    )
+    order = F.col("doc_id").asc_nulls_first()
+    # With the hash in the ranges, a doc_id (or NULL) of very many rows is spread over shards too.
+    marked = docs.withColumn("mark", F.xxhash64("text")).repartitionByRange(n, order, F.col("mark"))
+    marked.sortWithinPartitions(order, "mark", "text").drop("mark").mapInArrow(encode, _BLOCK).write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

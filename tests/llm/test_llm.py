@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -35,31 +35,6 @@ def test_encoder_equals_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [[*x.ids, 1] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_fingerprints(spark, odd, empty):
-    rows = fingerprints.with_edits(odd).collect()
-    got = {(r["doc_id"], r["n_chars"]): r for r in rows}
-    want = []
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    for a, b in zip(order, order[1:] + order[:1], strict=True):
-        n = len(a[1] or "")
-        text = (a[1] or "")[: n - n // 4] + (b[1] or "")[: n // 4]
-        want.append((a[0] or -1, n, hashlib.sha256(text.encode()).hexdigest()))
-    assert sorted((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"]) for r in rows) == sorted(want)
-    assert got[1, len(ROWS[0][1])]["fingerprint"] == got[2, len(ROWS[0][1])]["fingerprint"]
-    assert got[5, len(LONG)]["near_edited"] > got[4, 0]["near_next"]
-    assert fingerprints.with_edits(empty).count() == 0
-
-
-def test_near_fingerprints_equal_brute_force(spark):
-    rng = np.random.default_rng(1)
-    base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
-    values = base + [b ^ (1 << int(rng.integers(62))) ^ (1 << int(rng.integers(62))) for b in base] + [base[0] ^ 0b1111]
-    df = spark.createDataFrame([(v,) for v in values], "fingerprint long")
-    got = {(r[0], r[1]) for r in fingerprints.near_fingerprints(df, df).collect()}
-    want = {(a, b) for a in values for b in values if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
-    assert got == want
-
-
 def test_licenses(spark, odd, empty):
     got = {r["doc_id"]: r for r in licenses.scan(odd).collect()}
     assert got[9]["base_labels"] == ["cc-by", "reserved"] and (got[9]["first_word"], got[9]["last_word"]) == (0, 3)
@@ -67,31 +42,6 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
-def test_quality(spark, odd, empty, docs):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = classifiers.quality_model(docs, labels)
-    got = classifiers.scored_quality(odd, *model).collect()
-    assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
-    held = classifiers.scored_quality(docs, *model).join(labels, "doc_id").where(classifiers.remainder(F.col("doc_id"), 4) == 2).collect()
-    assert np.mean([(r["score"] >= 0.7) == (r["quality"] == 1) for r in held]) >= 0.8
-    assert classifiers.quality_model(empty, labels.limit(0)) == (None, [])
-    assert classifiers.scored_quality(empty, None, []).count() == 0
-
-
-def test_language(spark, odd, empty, docs):
-    model = classifiers.language_model(docs)
-    got = {r["doc_id"]: r for r in classifiers.identified(odd, *model).collect()}
-    assert got[3]["lang_pred"] == got[4]["lang_pred"] == got[7]["lang_pred"] == "und" and got[1]["lang_pred"] != "und"
-    held = classifiers.identified(docs, *model).join(docs.select("doc_id", "lang"), "doc_id").where(classifiers.remainder(F.col("doc_id"), 5) == 0).collect()
-    assert np.mean([r["lang_pred"] == r["lang"] for r in held]) >= 0.9
-    assert classifiers.identified(empty, *classifiers.language_model(empty)).count() == 0
-
-
-def test_targets_by_hand():
-    assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
-    assert mixing.targets([], []) == [] and mixing.targets([0], [3.0]) == [0]
-
-
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 60).astype(np.uint64)
@@ -173,10 +123,42 @@ def test_line_dedup_and_its_reversal(spark, docs, odd, empty):
     back = both.delete(rest.select("doc_id"))
     assert sorted(back.refs.collect()) == sorted(line_dedup.LineStore.build(first).refs.collect())
     assert {r["doc_id"]: r["kept"] for r in line_dedup.deduped(first, back).collect()} == brute_lines([r for r in rows if r[0] % 3 == 0])
-    assert line_dedup.deduped(odd, line_dedup.LineStore.build(odd)).count() == len(ROWS)
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.deduped(odd, line_dedup.LineStore.build(odd)).collect()]
+    assert Counter(got) == Counter((i, len((t or "").split("\n")), 0, t or "") for i, t, *_ in ROWS)
     assert line_dedup.deduped(empty, line_dedup.LineStore.build(empty)).count() == 0
 
 
+def test_filters_grow_with_the_store(spark, empty, monkeypatch):
+    """An empty store grows by inserts as one built at once; hot lines are spread over parts of a shard."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    monkeypatch.setattr(line_dedup, "SHARD_POSTINGS", 100)
+    rows = [(i, "\n".join(f"a line that stands in many documents, number {(i * 7 + j) % 300}" for j in range(20)) + "\nthe same long line in every single document of all") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grown = line_dedup.LineStore.build(empty).insert(df.where("doc_id < 50")).insert(df.where("doc_id >= 50"))
+    built = line_dedup.LineStore.build(df)
+    assert built.shards > 4 and grown.shards >= built.shards // 2
+    keys = sorted(map(tuple, built.refs.where("n_docs >= 5").select("k1", "k2").collect()))
+    held = {r["shard"]: line_dedup.CuckooFilter.from_bytes(bytes(r["slots"])) for r in grown.filters.collect()}
+    assert len(held) > 1 and all(held[k1 % grown.shards].contains(np.array([k2])).all() for k1, k2 in keys)
+    for store in (grown, built):
+        assert {r["doc_id"]: r["kept"] for r in line_dedup.deduped(df, store).collect()} == brute_lines(rows)
+        assert store.maybe_repeated(store.postings).count() >= store.postings.join(store.refs.where("n_docs >= 5"), ["k1", "k2"]).count()
+
+
+def test_filters_rule_out_what_is_rare(spark):
+    rows = [(i, f"a line of its own that no other document holds: {i}\nthe line that all of the documents share with each other") for i in range(400)]
+    store = line_dedup.LineStore.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 400 <= store.maybe_repeated(store.postings).count() < 420
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    line = "a line that is long enough to count as a repeated one"
+    rows = [(None, f"{line}\nown {i}") for i in range(4)] + [(None, f"{line}\nown 0"), (7, f"{line}\nlast")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["kept"]) for r in line_dedup.deduped(df, line_dedup.LineStore.build(df)).collect())
+    assert got == sorted([(-1, f"own {i}") for i in (0, 0, 1, 2, 3)] + [(7, f"{line}\nlast")])
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 3000)
     f = line_dedup.CuckooFilter.sized(3000)
@@ -226,6 +208,30 @@ def test_small_items_in_long_texts_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contained(df, things).collect()} == {x[:2] for x in want}
 
 
+def test_decontaminated_keeps_clean_rows(spark, odd, empty):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "all rights reserved"), (3, None)], "item_id long, text string")
+    clash = odd.withColumn("hit_id", F.lit(1)).withColumn("item_id", F.lit(2)).withColumn("a.b", F.lit("x"))
+    got = decontamination.decontaminated(clash, items)
+    assert got.columns == clash.columns
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(i for i, *_ in ROWS if i not in (1, 2, 9))
+    assert decontamination.decontaminated(empty, items).count() == 0
+    assert decontamination.decontaminated(odd, items.limit(0)).count() == len(ROWS)
+    found = Counter((r["doc_id"], r["item_id"]) for r in decontamination.contained(odd, items).collect())
+    assert found == Counter({(1, 1): 1, (2, 1): 1, (9, 2): 2})
+
+
+def test_decontamination_in_blocks_of_items(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = sorted(map(tuple, decontamination.contained(docs, items).collect()))
+    clean = sorted(r["doc_id"] for r in decontamination.decontaminated(docs, items).collect())
+    real = decontamination.item_blocks
+    monkeypatch.setattr(decontamination, "item_blocks", lambda x: real(x, 600))
+    assert len(list(decontamination.item_blocks(items))) > 1
+    assert sorted(map(tuple, decontamination.contained(docs, items).collect())) == whole
+    assert sorted(r["doc_id"] for r in decontamination.decontaminated(docs, items).collect()) == clean
+    assert set(clean) == {r["doc_id"] for r in docs.collect()} - {r[0] for r in whole}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
