@@ -11,7 +11,7 @@ import pytest
 from awkward import LONG, ROWS, SF
 from pyspark.sql import functions as F
 
-from chainlake.llm import classifiers, common, decontamination, fingerprints, licenses, line_dedup, mixing, near_dedup, secrets, token_output
+from chainlake.llm import common, decontamination, line_dedup, near_dedup, secrets, token_output
 from chainlake.llm.common import WordHashes, hashed_words, shared_dir, shingle_hashes
 
 def test_tokens_round_trip(spark, odd, empty):
@@ -35,13 +35,6 @@ def test_encoder_equals_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [[*x.ids, 1] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_licenses(spark, odd, empty):
-    got = {r["doc_id"]: r for r in licenses.scan(odd).collect()}
-    assert got[9]["base_labels"] == ["cc-by", "reserved"] and (got[9]["first_word"], got[9]["last_word"]) == (0, 3)
-    assert got[3]["n_words"] == 0 and got[4]["score"] == 0 and got[5]["n_words"] == 30_000
-    assert licenses.scan(empty).count() == 0
-
-
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 60).astype(np.uint64)
