@@ -44,6 +44,31 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(dict):
+    """piece -> its ids, in two generations. When the younger one is full it becomes the older, and what was in that is
+    forgotten unless it was met again since. A piece that is in neither is noted in ``new`` and looked up as None."""
+
+    LIMIT = 500_000
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.new: set[str] = set()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        held = self.older.get(piece)
+        if held is None:
+            self.new.add(piece)
+        else:
+            self[piece] = held
+        return held
+
+    def age(self) -> None:
+        if len(self) > self.LIMIT:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Encodes whole texts as the library does, with the pieces of Latin-1 texts looked up in a table.
 
@@ -52,7 +77,6 @@ class Encoder:
     library once. All other texts are given to the library whole.
     """
 
-    LIMIT, SHORT = 250_000, 8
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -63,7 +87,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces()
         vocabulary = self.tokenizer.get_vocab()
         #: Whether an id ends a piece: its token has the suffix of word ends.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -100,15 +124,21 @@ class Encoder:
                 cut.append(None)
             else:
                 cut.append(None if "<|" in text else _PIECE.findall(text.lower()))
-        if len(self.known) > self.LIMIT:
-            kept = {p: v for p, v in self.known.items() if len(p) <= self.SHORT}
-            self.known = kept if len(kept) < self.LIMIT // 2 else {}
         known = self.known
-        new = list(set().union(*(pieces for pieces in cut if pieces)).difference(known))
+        known.age()
+        found = [pieces and list(map(known.__getitem__, pieces)) for pieces in cut]
+        new = list(known.new)
+        known.new.clear()
         for at in range(0, len(new), 1024):
             self.learn(new[at : at + 1024])
         rest = iter(self.library([t or "" for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [(next(rest) if pieces is None else b"".join(map(known.__getitem__, pieces))) + end for pieces in cut]
+        out = []
+        for pieces, ids in zip(cut, found, strict=True):
+            if pieces is None:
+                out.append(next(rest) + end)
+            else:
+                out.append(b"".join(ids if None not in ids else [known[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]) + end)
+        return out
 
 
 def train_dictionary(df: DataFrame, tokenizer: str, docs: int = DICT_DOCS, doc_chars: int = DICT_DOC_CHARS) -> bytes:
