@@ -33,8 +33,12 @@ def sample(labelled: DataFrame, docs: DataFrame, per_class: int) -> tuple[list[s
     that length is read, from a place by a hash of doc_id; NULL texts are empty.
     """
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    by = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
-    chosen = labelled.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= per_class).select("doc_id", "label").collect()
+    # The least of each label's parts first, so a label of most rows is no single task's.
+    chosen = labelled.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(64)))
+    for keys in (("label", "part"), ("label",)):
+        by = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
+        chosen = chosen.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= per_class).drop("nth")
+    chosen = chosen.select("doc_id", "label").collect()
     if not chosen:
         return [], [], counts
     small = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in chosen], ["doc_id", "label"])

@@ -266,7 +266,8 @@ def pieces(rows: DataFrame) -> DataFrame:
 def mix(rows: DataFrame, sources: list[dict], seed: int) -> DataFrame:
     """The mix: shard, place, i, block, pass, and of each document in that slot ``row`` and its words lo to hi."""
     slots = slots_of(rows.sparkSession, sources, seed)
-    joined = pieces(located(rows, sources)).join(slots, ["place", "block"])
+    # Neither side is ever sent whole: both grow with the words.
+    joined = pieces(located(rows, sources)).join(slots.hint("merge"), ["place", "block"])
     joined = joined.withColumn("hi", F.least("hi", F.col("lo") + F.col("words") - F.col("at"))).where("hi > lo")
     return joined.select("shard", "place", "i", "block", "pass", "row", "lo", "hi", "at")
 

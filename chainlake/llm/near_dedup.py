@@ -259,10 +259,12 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     def f(c: dict[str, list]) -> dict[str, object]:
         return {"rep": c["rep"], "bag": [expanded(*bag(hashed_words(t, cache))) for t in c["text"]]}
 
-    # Of each wanted text the row of its smallest doc_id, so copies do not meet in one task.
-    wanted = stored(reps.join(shared.select("rep").distinct(), "rep").select("rep", F.col("row.doc_id").alias("least"), "row.t1", "row.t2"), "wanted")
-    marked = docs.select("doc_id", *text_marks(), "text").alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.least AND d.t1 = w.t1 AND d.t2 = w.t2"))
-    marked = marked.select("rep", "text").dropDuplicates(["rep"])
+    # Of each wanted text the row of its smallest doc_id, so copies do not meet in one task; texts are dealt once, whatever
+    # their number, and rows equal in all meet where they are.
+    key = ["at", "t1", "t2"]
+    at = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at")
+    wanted = stored(reps.join(shared.select("rep").distinct(), "rep").select("rep", "row.doc_id", "row.t1", "row.t2").select("rep", at, "t1", "t2"), "wanted")
+    marked = docs.select(at, *text_marks(), "text").join(wanted.hint("merge"), key).dropDuplicates(key).select("rep", "text")
     bags = stored(marked.mapInArrow(record_batches(f, schema, 256), "rep long, bag binary"), "bags")
     links = stored(verified(star, bags, threshold).dropDuplicates(["a", "b"]), "links")
     label = components(links)

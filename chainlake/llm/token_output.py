@@ -48,7 +48,7 @@ class Pieces(dict):
     """piece -> its ids, in two generations. When the younger one is full it becomes the older, and what was in that is
     forgotten unless it was met again since. A piece that is in neither is noted in ``new`` and looked up as None."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self):
         super().__init__()
