@@ -151,3 +151,13 @@ def last_states(seq: DataFrame, order: int) -> DataFrame:
     back = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("pos")))
     tail = seq.withColumn("back", back).where(F.col("back") <= order)
     return tail.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("pos", "state"))).alias("t")).where(F.size("t") == order).select("entity", F.col("t.state").alias("ctx"))
+
+
+def window_of(bounds: DataFrame, age: float) -> DataFrame:
+    """The first window that holds an age (both ends count)."""
+    return bounds.where(F.lit(age).between(F.col("start"), F.col("end"))).agg(F.min("window_id").alias("window_id"))
+
+
+def matrix_at(seq: DataFrame, age: float, windows: int = 4) -> DataFrame:
+    """The matrix of the first window that holds an age; empty if none does."""
+    return window_matrices(seq, windows).join(window_of(window_bounds(seq, windows), age), "window_id")

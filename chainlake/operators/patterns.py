@@ -9,7 +9,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlake.operators.sequences import contains_pattern
+from chainlake.operators.sequences import running_total
 
 INFINITE = 1e308
 
@@ -53,7 +53,8 @@ def chi2_change_points(seq: DataFrame, min_segment: int = 3, most: int = 5) -> D
     """Cuts whose chi-squared between the windows on both sides is over the entity's 90th percentile; the first few.
 
     The window is max(min_segment, n // 10), different for each entity, so counts come from running sums: the count in
-    a window is the difference of two prefixes.
+    a window is the difference of two prefixes. With two states the deviations are lessened by a half (Yates); cuts with
+    one state on both sides have no statistic and are left out of the percentile.
     """
     c = prefix_counts(seq)
     w = F.greatest(F.lit(min_segment), F.floor(F.col("n") / 10))
@@ -65,51 +66,70 @@ def chi2_change_points(seq: DataFrame, min_segment: int = 3, most: int = 5) -> D
     hi = ends.select("entity", "state", F.col("cut").alias("hi"), F.col("before").alias("b_hi"))
     both = mid.withColumn("lo", F.col("cut") - F.col("w")).withColumn("hi", F.col("cut") + F.col("w")).join(lo, ["entity", "state", "lo"]).join(hi, ["entity", "state", "hi"])
     both = both.select("entity", "cut", (F.col("before") - F.col("b_lo")).alias("left"), (F.col("b_hi") - F.col("before")).alias("right")).where("left + right > 0")
-    d = F.col("left") - F.col("right")
-    scored = both.groupBy("entity", "cut").agg(F.sum(d * d / (F.col("left") + F.col("right"))).alias("chi2"))
+    # Both windows are of one size, so a state's expected count is the mean of the two.
+    d, n = F.abs(F.col("left") - F.col("right")), F.col("left") + F.col("right")
+    less = F.greatest(d - 1, F.lit(0))
+    scored = both.groupBy("entity", "cut").agg(F.count(F.lit(1)).alias("states"), F.sum(d * d / n).alias("plain"), F.sum(less * less / n).alias("corrected"))
+    scored = scored.where("states > 1").select("entity", "cut", F.when(F.col("states") == 2, F.col("corrected")).otherwise(F.col("plain")).alias("chi2"))
     limit = F.percentile("chi2", F.lit(0.9)).over(Window.partitionBy("entity"))
     rank = F.row_number().over(Window.partitionBy("entity").orderBy("cut"))
     return scored.withColumn("limit", limit).where(F.round("chi2", 9) > F.round("limit", 9)).withColumn("rank", rank).where(F.col("rank") <= most).select("entity", "cut", "chi2")
 
 
-def binary_segmentation(seq: DataFrame, min_segment: int = 3, most: int = 5) -> DataFrame:
-    """entity, cut, gain: greedy splits by the largest loss of variance of the state codes.
+def binary_splits(x: np.ndarray, min_segment: int, most: int) -> list[tuple[int, float]]:
+    """(cut, gain) of greedy splits of one series, ascending: always the best cut there is, up to ``most``.
 
-    Iterative within an entity, so one entity is one numpy call over prefix sums.
+    The gain is a segment's variance less those of its two parts, unweighted, so it may be negative. Of equal gains the
+    first cut counts.
     """
+    s, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+    var = lambda a, b: (s2[b] - s2[a]) / (b - a) - ((s[b] - s[a]) / (b - a)) ** 2
+    segments, cuts = [(0, len(x))], []
+    while len(cuts) < most:
+        best = None
+        for a, b in sorted(segments):
+            t = np.arange(a + min_segment, b - min_segment)
+            if len(t):
+                gain = np.round(var(a, b) - var(a, t) - var(t, b), 12)
+                i = int(gain.argmax())
+                if best is None or gain[i] > best[0]:
+                    best = (float(gain[i]), int(t[i]), a, b)
+        if best is None:
+            break
+        gain, t, a, b = best
+        segments.remove((a, b))
+        segments += [(a, t), (t, b)]
+        cuts.append((t, gain))
+    return sorted(cuts)
+
+
+def binary_segmentation(seq: DataFrame, min_segment: int = 3, most: int = 5) -> DataFrame:
+    """entity, cut, gain: ``binary_splits`` of each entity's state codes (from 0, in ascending order of states)."""
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("pos")["code"].to_numpy(float)
-        s, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-        var = lambda a, b: (s2[b] - s2[a]) / (b - a) - ((s[b] - s[a]) / (b - a)) ** 2
-        segments, cuts = [(0, len(x))], []
-        while len(cuts) < most:
-            best = None
-            for a, b in segments:
-                for t in range(a + min_segment, b - min_segment):
-                    gain = var(a, b) - var(a, t) - var(t, b)
-                    if gain > 0 and (best is None or gain > best[0]):
-                        best = (gain, t, a, b)
-            if best is None:
-                break
-            gain, t, a, b = best
-            segments.remove((a, b))
-            segments += [(a, t), (t, b)]
-            cuts.append((t, gain))
-        cuts.sort()
+        cuts = binary_splits(rows.sort_values("pos")["code"].to_numpy(float), min_segment, most)
         return pd.DataFrame({"entity": [rows["entity"].iloc[0]] * len(cuts), "cut": [t for t, _ in cuts], "gain": [g for _, g in cuts]}).astype({"cut": "int64", "gain": "float64"})
 
     code = F.dense_rank().over(Window.orderBy("state")) - 1
     codes = seq.select("state").distinct().withColumn("code", code)
     kind = dict(seq.dtypes)["entity"]
-    return seq.join(F.broadcast(codes), "state").select("entity", "pos", "code").groupBy("entity").applyInPandas(split, f"entity {kind}, cut long, gain double")
+    return seq.join(codes, "state").select("entity", "pos", "code").groupBy("entity").applyInPandas(split, f"entity {kind}, cut long, gain double")
+
+
+def phase_features(seq: DataFrame, strict: bool = False) -> DataFrame:
+    """state, age, position and text length of every event.
+
+    ``position`` is the event's number among all events of all entities, in order, over its sequence's length; with
+    ``strict`` its number within its own sequence.
+    """
+    rows = seq.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("entity")))
+    rows = rows.withColumn("k", F.col("pos") - 1) if strict else running_total(rows, ["entity", "pos"], F.lit(1), "k")
+    return rows.select("entity", "pos", "state", F.col("age").cast("double").alias("age"), (F.col("k") / F.col("n")).alias("position"), F.length("state").cast("double").alias("text_length"))
 
 
-def life_phases(seq: DataFrame, phases: int = 5, seed: int = 42) -> DataFrame:
-    """phase (0 is the youngest), n, mean/min/max age, name and the most frequent states, by k-means on age and position."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("entity"))
-    rows = seq.withColumn("position", F.col("pos") / n)
-    raw = VectorAssembler(inputCols=["age", "position"], outputCol="raw").transform(rows)
+def life_phases(seq: DataFrame, phases: int = 5, seed: int = 42, strict: bool = False) -> DataFrame:
+    """phase (0 is the youngest), n, mean/min/max age, name and the most frequent states, by k-means on three features."""
+    raw = VectorAssembler(inputCols=["age", "position", "text_length"], outputCol="raw").transform(phase_features(seq, strict))
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
     label = KMeans(k=phases, seed=seed, initSteps=5).fit(scaled).transform(scaled).select("state", "age", "prediction")
     stats = label.groupBy("prediction").agg(F.avg("age").alias("mean_age"), F.min("age").alias("min_age"), F.max("age").alias("max_age"), F.count(F.lit(1)).alias("n"))
@@ -119,42 +139,60 @@ def life_phases(seq: DataFrame, phases: int = 5, seed: int = 42) -> DataFrame:
 
 
 def phase_name(age):
-    return F.when(age < 12, "Childhood").when(age < 18, "Adolescence").when(age < 25, "Young Adulthood").when(age < 40, "Adulthood").otherwise("Later Life")
+    return F.when(age < 12, "Early Childhood").when(age < 18, "Adolescence").when(age < 25, "Early Adulthood").when(age < 40, "Middle Adulthood").otherwise("Late Adulthood")
+
+
+def next_places(seq: DataFrame) -> DataFrame:
+    """entity, at, state, next: where after each place (0 is the start) a state stands first.
+
+    A state's event is the next one for all places from the state's event before it on.
+    """
+    before = F.coalesce(F.lag("pos").over(Window.partitionBy("entity", "state").orderBy("pos")), F.lit(0))
+    return seq.withColumn("before", before).select("entity", "state", F.col("pos").alias("next"), F.explode(F.sequence(F.col("before"), F.col("pos") - 1)).alias("at"))
 
 
-def frequent_subsequences(arrays: DataFrame, support: float = 0.2, longest: int = 3) -> DataFrame:
-    """pattern, n_sequences of the patterns of 2 to ``longest`` states (gaps allowed) in int(support * n) sequences.
+def frequent_subsequences(seq: DataFrame, support: float = 0.1, longest: int = 5, shortest: int = 2) -> DataFrame:
+    """pattern, n_sequences of the patterns (gaps allowed) of up to ``longest`` states in int(support * n) sequences.
 
-    Level by level: candidates join two frequent patterns that overlap in all but an end, and are counted in one pass
-    over the sequences. Candidates are bounded by the square of a level, which the support keeps small; the list of a
-    level is broadcast only below Spark's own size threshold.
+    Level by level: of each sequence and each frequent pattern in it one row is held, with the earliest place where the
+    pattern ends. An equality join with the places that come next gives all longer patterns at once; each level is one
+    aggregation. Levels are stored while the next is made; the counts that come out are as many as there are patterns.
     """
-    n = arrays.count()
+    n = seq.select("entity").distinct().count()
     least = max(int(support * n), 1)
-    level = arrays.select(F.explode(F.array_distinct("states")).alias("s")).groupBy("s").count().where(F.col("count") >= least).select(F.array("s").alias("pattern"))
-    found = None
-    for size in range(2, longest + 1):
-        a, b = level.select(F.col("pattern").alias("a")), level.select(F.col("pattern").alias("b"))
-        head = F.slice("a", 2, size - 2) if size > 2 else F.array().cast("array<string>")
-        tail = F.slice("b", 1, size - 2) if size > 2 else F.array().cast("array<string>")
-        candidates = a.join(b, head == tail).select(F.concat("a", F.slice("b", -1, 1)).alias("pattern")).distinct()
-        counted = arrays.select("states").join(candidates, contains_pattern(F.col("states"), F.col("pattern"))).groupBy("pattern").agg(F.count(F.lit(1)).alias("n_sequences"))
-        level_counts = counted.where(F.col("n_sequences") >= least)
-        found = level_counts if found is None else found.unionByName(level_counts)
-        level = level_counts.select("pattern")
-    return found
-
-
-def association_rules(arrays: DataFrame, frequent: DataFrame, confidence: float = 0.5) -> DataFrame:
-    """antecedent, consequent, support, confidence, lift of the splits of frequent patterns.
-
-    The antecedent's support counts all sequences that contain it.
+    places = next_places(seq).persist()
+    held = places.where("at = 0").select("entity", F.array("state").alias("pattern"), F.col("next").alias("at")).persist()
+    found = []
+    for size in range(1, longest + 1):
+        counts = held.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_sequences")).where(F.col("n_sequences") >= least)
+        rows = [(r["pattern"], r["n_sequences"]) for r in counts.collect()]
+        if not rows:
+            break
+        counts = seq.sparkSession.createDataFrame(rows, "pattern array<string>, n_sequences long")
+        found += rows if size >= shortest else []
+        if size < longest:
+            kept = held.join(counts.select("pattern"), "pattern", "left_semi")
+            longer = kept.join(places, ["entity", "at"]).select("entity", F.concat("pattern", F.array("state")).alias("pattern"), F.col("next").alias("at")).persist()
+            longer.count()
+            held.unpersist()
+            held = longer
+    held.unpersist()
+    places.unpersist()
+    return seq.sparkSession.createDataFrame(found, "pattern array<string>, n_sequences long")
+
+
+def association_rules(frequent: DataFrame, n: int, confidence: float = 0.5, strict: bool = False) -> DataFrame:
+    """antecedent, consequent, support, confidence, lift of the splits of the frequent patterns of ``n`` sequences.
+
+    By default the antecedent is counted among the sequences that hold the whole pattern, as the lift's base is too: both
+    are then 1. With ``strict`` all sequences that hold the antecedent, or the consequent, count. These are frequent
+    themselves, so ``frequent`` (of patterns from one state on) has their counts.
     """
-    n = arrays.select(F.count(F.lit(1)).alias("n"))
-    cut = frequent.select("pattern", "n_sequences", F.explode(F.sequence(F.lit(1), F.size("pattern") - 1)).alias("i"))
-    rules = cut.select(F.slice("pattern", F.lit(1), F.col("i")).alias("antecedent"), F.expr("slice(pattern, i + 1, size(pattern) - i)").alias("consequent"), "n_sequences")
-    sides = rules.select(F.col("antecedent").alias("side")).union(rules.select(F.col("consequent").alias("side"))).distinct()
-    support = arrays.select("states").join(sides, contains_pattern(F.col("states"), F.col("side"))).groupBy("side").agg(F.count(F.lit(1)).alias("c"))
-    s = rules.join(support.select(F.col("side").alias("antecedent"), F.col("c").alias("ca")), "antecedent").join(support.select(F.col("side").alias("consequent"), F.col("c").alias("cc")), "consequent").join(n)
+    cut = frequent.where(F.size("pattern") > 1).select("pattern", "n_sequences", F.explode(F.sequence(F.lit(1), F.size("pattern") - 1)).alias("i"))
+    rules = cut.select(F.slice("pattern", F.lit(1), F.col("i")).alias("antecedent"), F.expr("slice(pattern, i + 1, size(pattern) - i)").alias("consequent"), "n_sequences", (F.col("n_sequences") / n).alias("support"))
+    if not strict:
+        return rules.select("antecedent", "consequent", "support", F.lit(1.0).alias("confidence"), F.lit(1.0).alias("lift"))
+    side = lambda name, c: frequent.select(F.col("pattern").alias(name), F.col("n_sequences").alias(c))
+    both = rules.join(side("antecedent", "ca"), "antecedent").join(side("consequent", "cc"), "consequent")
     conf = F.col("n_sequences") / F.col("ca")
-    return s.select("antecedent", "consequent", (F.col("n_sequences") / F.col("n")).alias("support"), conf.alias("confidence"), (conf / (F.col("cc") / F.col("n"))).alias("lift")).where(F.col("confidence") >= confidence)
+    return both.select("antecedent", "consequent", "support", conf.alias("confidence"), (conf / (F.col("cc") / n)).alias("lift")).where(F.col("confidence") >= confidence)

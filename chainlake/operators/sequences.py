@@ -71,3 +71,54 @@ def half_split(seq: DataFrame) -> DataFrame:
     """Adds n and early (the first n // 2 positions)."""
     n = F.count(F.lit(1)).over(Window.partitionBy("entity"))
     return seq.withColumn("n", n).withColumn("early", F.col("pos") <= F.floor(F.col("n") / 2))
+
+
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each, in the order of the columns ``order``.
+
+    Ranges of the order are dealt to tasks; each sums its own, and the ranges' totals, one row each, are summed on the
+    driver. No task sees all rows. The dealt rows are persisted, as the bounds of ranges are drawn anew by each plan.
+    """
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.withColumn("own_value", value).repartitionByRange(n, *order).withColumn("own_range", F.spark_partition_id()).persist()
+    totals = {r["own_range"]: r["n"] for r in dealt.groupBy("own_range").agg(F.sum("own_value").alias("n")).collect()}
+    starts, at = [], 0
+    for part in sorted(totals):
+        starts.append((part, at))
+        at += totals[part]
+    first = spark.createDataFrame(starts, "own_range int, own_start long")
+    before = Window.partitionBy("own_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("own_inside", F.coalesce(F.sum("own_value").over(before), F.lit(0)))
+    return inside.join(first, "own_range").withColumn(name, F.col("own_start") + F.col("own_inside")).drop("own_value", "own_range", "own_start", "own_inside")
+
+
+def diversity(seq: DataFrame) -> DataFrame:
+    """entity, n, n_states, diversity: distinct states over states."""
+    distinct = F.countDistinct("state")
+    return seq.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), distinct.alias("n_states"), (distinct / F.count(F.lit(1))).alias("diversity"))
+
+
+def pattern_frequency(seq: DataFrame, pattern: list[str]) -> DataFrame:
+    """cnt, n_sequences of one run of neighbours."""
+    wanted = F.array(*[F.lit(x) for x in pattern])
+    return ngrams(seq, len(pattern)).where(F.col("gram") == wanted).agg(F.count(F.lit(1)).alias("cnt"), F.countDistinct("entity").alias("n_sequences"))
+
+
+def relabelled(seq: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """entity, pos, state with the states of ``labels`` (key, label), joined by the event's key and never by its place.
+
+    Events without a label keep none and go.
+    """
+    return seq.join(labels.select(key, F.col("label").cast("string").alias("new_state")), key).select("entity", "pos", F.col("new_state").alias("state"))
+
+
+def split_entities(entities: DataFrame, share: float = 0.5, seed: int = 0) -> DataFrame:
+    """entity, part (0 or 1): 0 for a share of the entities by the first digits of an md5, alike in every run and engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("entity").cast("string")).cast("binary")), 1, 4)
+    return entities.select("entity").distinct().withColumn("part", (digits >= f"{int(65536 * share):04x}").cast("int"))
+
+
+def of_part(df: DataFrame, parts: DataFrame, part: int) -> DataFrame:
+    """The rows of ``df`` whose entity is in that part."""
+    return df.join(parts.where(F.col("part") == part).select("entity"), "entity", "left_semi")

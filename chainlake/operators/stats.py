@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainlake.operators.sequences import adjacent
+from chainlake.operators.sequences import adjacent, running_total
 
 
 def draw(rep: Column, slot: Column, n: Column) -> Column:
@@ -16,7 +16,7 @@ def draw(rep: Column, slot: Column, n: Column) -> Column:
 
 def indexed(entities: DataFrame) -> DataFrame:
     """entity, k: consecutive numbers in order of entity, dealt out by range so that no task sorts all."""
-    return entities.select("entity").distinct().withColumn("k", F.row_number().over(Window.orderBy("entity")).cast("long") - 1)
+    return running_total(entities.select("entity").distinct(), ["entity"], F.lit(1), "k").select("entity", F.col("k").cast("long").alias("k"))
 
 
 def draws(spark: SparkSession, reps: int, n: int) -> DataFrame:
@@ -62,9 +62,8 @@ def kruskal_h(df: DataFrame, group: str, value: str) -> DataFrame:
 
     Values are counted first, so ranks come from running sums over distinct values.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).select(value, "rank")
+    counts = running_total(df.groupBy(value).agg(F.count(F.lit(1)).alias("c")), [value], F.col("c"), "before")
+    ranks = counts.select(value, (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
     sums = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n_group"))
     total = sums.agg(F.sum("n_group").cast("double").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n_group")).alias("s"), F.count(F.lit(1)).alias("k"))
     return total.select((12.0 / (F.col("n") * (F.col("n") + 1)) * F.col("s") - 3 * (F.col("n") + 1)).alias("h"), F.col("n").cast("long").alias("n"), "k")
@@ -78,7 +77,7 @@ def folds(entities: DataFrame, k: int = 5) -> DataFrame:
 def label_permutation(df: DataFrame, reps: int) -> DataFrame:
     """rep, between: sum over labels of n * squared mean of x after permuting labels by hashed rank, rep 0 as observed."""
     spark = df.sparkSession
-    rows = df.withColumn("k", F.row_number().over(Window.orderBy("id")).cast("long") - 1)
+    rows = running_total(df, ["id"], F.lit(1), "k").withColumn("k", F.col("k").cast("long"))
     runs = spark.range(reps + 1).select(F.col("id").alias("rep"))
     key = F.when(F.col("rep") == 0, F.col("k")).otherwise(F.pmod((F.col("rep") * 1000003 + F.col("k")) * 1103515245 + 12345, F.lit(2147483648)))
     many = rows.select("k", "x").join(F.broadcast(runs)).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(key, "k")).cast("long") - 1)

@@ -23,29 +23,34 @@ def text_severity(text: Column) -> Column:
 
 
 def features(seq: DataFrame) -> DataFrame:
-    """One row per entity in one aggregation: size, diversity, ages, rates, transitions, severity slope and maximum.
+    """One row per entity: size, diversity, ages, rates, transitions and their entropy, severity slope and maximum.
 
-    ``recent`` is the share of the last three states with severity 3. Rates look at positive gaps only and are 0
-    without one; the slope of a single state is 0.
+    ``recent`` is the share of the last three states with severity 3. ``rate`` is 1 over the mean of all gaps, 0 where that
+    is not positive; ``rate_std`` looks at positive gaps alone; the entropy of transitions is in nats; the slope of a
+    single state is 0. All steps stay with the entity, so rows are shuffled once.
     """
     w = Window.partitionBy("entity").orderBy("pos")
     x = seq.withColumn("gap", F.col("age") - F.lag("age").over(w)).withColumn("next", F.lead("state").over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("entity")))
     x = x.withColumn("sev", severity(F.col("state"))).withColumn("placed", F.col("sev") * F.col("pos") / F.col("n"))
     positive = F.when(F.col("gap") > 0, F.col("gap"))
-    return x.groupBy("entity").agg(
+    moves = x.where(F.col("next").isNotNull()).groupBy("entity", "state", "next").agg(F.count(F.lit(1)).alias("c"))
+    share = F.col("c") / F.sum("c").over(Window.partitionBy("entity"))
+    moves = moves.withColumn("p", share).groupBy("entity").agg(F.count(F.lit(1)).alias("n_transitions"), (-F.sum(F.col("p") * F.ln("p"))).alias("transition_entropy"))
+    rows = x.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("state").alias("n_states"),
         (F.countDistinct("state") / F.count(F.lit(1))).alias("diversity"),
         F.min_by("age", "pos").alias("first_age"),
         F.max_by("age", "pos").alias("last_age"),
         (F.max_by("age", "pos") - F.min_by("age", "pos")).alias("duration"),
-        F.coalesce(F.try_divide(F.lit(1.0), F.avg(positive)), F.lit(0.0)).alias("rate"),
+        F.when(F.avg("gap") > 0, 1.0 / F.avg("gap")).otherwise(0.0).alias("rate"),
         F.coalesce(F.stddev_pop(F.try_divide(F.lit(1.0), positive)), F.lit(0.0)).alias("rate_std"),
-        F.countDistinct(F.when(F.col("next").isNotNull(), F.concat_ws(">", "state", "next"))).alias("n_transitions"),
         F.coalesce(F.regr_slope("placed", F.col("pos").cast("double")), F.lit(0.0)).alias("severity_slope"),
         F.max("placed").alias("max_severity"),
         F.avg(F.when(F.col("pos") > F.col("n") - 3, (F.col("sev") >= 3).cast("int"))).alias("recent"),
     )
+    none = {"n_transitions": F.coalesce("n_transitions", F.lit(0)), "transition_entropy": F.coalesce("transition_entropy", F.lit(0.0))}
+    return rows.join(moves, "entity", "left").withColumns(none)
 
 
 VIOLENT = "violen|murder|assault"
@@ -125,7 +130,7 @@ def type_changes(early: DataFrame, late: DataFrame) -> DataFrame:
     return n.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("early_type")))
 
 
-def types(found: DataFrame, k: int = 4, restarts: int = 3) -> DataFrame:
+def types(found: DataFrame, k: int = 4, restarts: int = 10) -> DataFrame:
     """entity, type, probability: the likeliest of some full-covariance mixtures over standardised features."""
     columns = ["n", "diversity", "duration", "severity_slope", "max_severity"]
     raw = VectorAssembler(inputCols=columns, outputCol="raw").transform(found)

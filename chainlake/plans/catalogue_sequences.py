@@ -122,35 +122,49 @@ def time_window_compare(spark, sf):
     return rounded(M.window_changes(M.window_matrices(event_sequences(spark, sf))))
 
 
-HEADS = f"""WITH {SEQ}, head AS (SELECT * FROM seq WHERE pos <= 6), n AS (SELECT count(DISTINCT entity) AS n FROM head),
-  one AS (SELECT state FROM head GROUP BY 1 HAVING count(DISTINCT entity) >= (SELECT greatest(floor(0.2::DOUBLE * n), 1) FROM n)),
-  two AS (SELECT a.state AS s1, b.state AS s2, count(DISTINCT a.entity) AS n_sequences FROM head a JOIN head b ON a.entity = b.entity AND a.pos < b.pos
-    WHERE a.state IN (FROM one) AND b.state IN (FROM one) GROUP BY ALL HAVING count(DISTINCT a.entity) >= (SELECT greatest(floor(0.2::DOUBLE * n), 1) FROM n)),
-  three AS (SELECT a.state AS s1, b.state AS s2, c.state AS s3, count(DISTINCT a.entity) AS n_sequences FROM head a JOIN head b ON a.entity = b.entity AND a.pos < b.pos
-    JOIN head c ON b.entity = c.entity AND b.pos < c.pos GROUP BY ALL HAVING count(DISTINCT a.entity) >= (SELECT greatest(floor(0.2::DOUBLE * n), 1) FROM n)),
-  freq AS (SELECT [s1, s2] AS pattern, n_sequences FROM two UNION ALL SELECT [s1, s2, s3], n_sequences FROM three) """
+def _levels(longest: int, support: float) -> str:
+    """Patterns by level: l1 ... hold a sequence's patterns with the earliest place of their end, f1 ... the frequent ones."""
+    least = f"(SELECT greatest(floor({support}::DOUBLE * count(DISTINCT entity)), 1) FROM seq)"
+    out = f"""WITH {SEQ}, after AS (SELECT a.entity, a.p, b.state, min(b.pos) AS q FROM (SELECT entity, pos - 1 AS p FROM seq) a JOIN seq b ON a.entity = b.entity AND b.pos > a.p GROUP BY ALL),
+  l1 AS (SELECT entity, [state] AS pattern, q FROM after WHERE p = 0)"""
+    for i in range(1, longest + 1):
+        out += f""", f{i} AS (SELECT pattern, count(*) AS n_sequences FROM l{i} GROUP BY 1 HAVING count(*) >= {least})"""
+        if i < longest:
+            out += f""", l{i + 1} AS (SELECT l.entity, list_append(l.pattern, after.state) AS pattern, after.q FROM l{i} l JOIN f{i} USING (pattern) JOIN after ON after.entity = l.entity AND after.p = l.q)"""
+    return out + ", freq AS (" + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(1, longest + 1)) + ") "
 
 
-def _heads(spark, sf):
-    return S.assembled(event_sequences(spark, sf).where("pos <= 6"))
+#: The defaults of the miner.
+SUPPORT, LONGEST = 0.1, 5
+FREQUENT = _levels(LONGEST, SUPPORT)
 
 
-@query(HEADS + "SELECT array_to_string(pattern, '>') AS pattern, n_sequences FROM freq")
+@query(FREQUENT + "SELECT array_to_string(pattern, '>') AS pattern, n_sequences FROM freq WHERE len(pattern) > 1")
 def frequent_subsequences(spark, sf):
-    return X.frequent_subsequences(_heads(spark, sf)).withColumn("pattern", F.array_join("pattern", ">"))
+    return X.frequent_subsequences(event_sequences(spark, sf), SUPPORT, LONGEST).withColumn("pattern", F.array_join("pattern", ">"))
 
 
-@query(HEADS + """, sides AS (SELECT [state] AS side, count(DISTINCT entity) AS c FROM head GROUP BY 1 UNION ALL SELECT pattern, n_sequences FROM freq),
-  cut AS (SELECT pattern, n_sequences, i FROM freq, range(1, 3) t(i) WHERE i < len(pattern))
-  SELECT array_to_string(pattern[1:i], '>') AS antecedent, array_to_string(pattern[i + 1:], '>') AS consequent, round(n_sequences::DOUBLE / n, 6) AS support,
-    round(n_sequences::DOUBLE / a.c, 6) AS confidence, round(n_sequences::DOUBLE / a.c / (b.c::DOUBLE / n), 6) AS lift
-  FROM cut JOIN sides a ON a.side = pattern[1:i] JOIN sides b ON b.side = pattern[i + 1:], n WHERE n_sequences::DOUBLE / a.c >= 0.5""")
-def association_rules(spark, sf):
-    arrays = _heads(spark, sf)
-    rules = X.association_rules(arrays, X.frequent_subsequences(arrays))
+def _rules(spark, sf, strict):
+    seq = event_sequences(spark, sf)
+    frequent = X.frequent_subsequences(seq, SUPPORT, LONGEST, 1)
+    rules = X.association_rules(frequent, seq.select("entity").distinct().count(), strict=strict)
     return rounded(rules.withColumns({c: F.array_join(c, ">") for c in ("antecedent", "consequent")}))
 
 
+CUT_PATTERNS = """, n AS (SELECT count(DISTINCT entity) AS n FROM seq), cut AS (SELECT pattern[1:i] AS a, pattern[i + 1:] AS c, n_sequences FROM freq, range(1, 5) t(i) WHERE i < len(pattern)) """
+
+
+@query(FREQUENT + CUT_PATTERNS + "SELECT array_to_string(a, '>') AS antecedent, array_to_string(c, '>') AS consequent, round(n_sequences::DOUBLE / n, 6) AS support, 1.0::DOUBLE AS confidence, 1.0::DOUBLE AS lift FROM cut, n")
+def association_rules(spark, sf):
+    return _rules(spark, sf, False)
+
+
+@query(FREQUENT + CUT_PATTERNS + """SELECT array_to_string(a, '>') AS antecedent, array_to_string(c, '>') AS consequent, round(cut.n_sequences::DOUBLE / n, 6) AS support, round(cut.n_sequences::DOUBLE / fa.n_sequences, 6) AS confidence,
+  round(cut.n_sequences::DOUBLE / fa.n_sequences / (fc.n_sequences::DOUBLE / n), 6) AS lift FROM cut JOIN freq fa ON fa.pattern = a JOIN freq fc ON fc.pattern = c, n WHERE cut.n_sequences::DOUBLE / fa.n_sequences >= 0.5""")
+def association_rules_strict(spark, sf):
+    return _rules(spark, sf, True)
+
+
 CUTS = f"""WITH {SEQ}, st AS (SELECT DISTINCT state AS s FROM seq), hot AS (SELECT entity, pos, s, (state = s)::INT AS hit FROM seq, st),
   pre AS (SELECT entity, pos - 1 AS cut, s, count(*) OVER e AS n, sum(hit) OVER e AS total, coalesce(sum(hit) OVER (PARTITION BY entity, s ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
     FROM hot WINDOW e AS (PARTITION BY entity, s)) """
@@ -176,7 +190,9 @@ def change_point_events(spark, sf):
   mid AS (SELECT *, greatest(3, n // 10) AS w FROM pre),
   lr AS (SELECT mid.entity, mid.cut, mid.b - lo.b AS l, hi.b - mid.b AS r FROM mid JOIN full_pre lo ON lo.entity = mid.entity AND lo.s = mid.s AND lo.cut = mid.cut - w
     JOIN full_pre hi ON hi.entity = mid.entity AND hi.s = mid.s AND hi.cut = mid.cut + w WHERE mid.cut >= w AND mid.cut < mid.n - w),
-  chi AS (SELECT entity, cut, sum((l - r)::DOUBLE * (l - r) / (l + r)) AS chi2 FROM lr WHERE l + r > 0 GROUP BY ALL),
+  ex AS (SELECT *, (l + r) / 2.0::DOUBLE AS e, count(*) OVER (PARTITION BY entity, cut) AS k FROM lr WHERE l + r > 0),
+  chi AS (SELECT entity, cut, sum(CASE WHEN k = 2 THEN power(abs(l - e) - least(0.5::DOUBLE, abs(l - e)), 2) / e + power(abs(r - e) - least(0.5::DOUBLE, abs(r - e)), 2) / e
+    ELSE power(l - e, 2) / e + power(r - e, 2) / e END) AS chi2 FROM ex WHERE k > 1 GROUP BY ALL),
   lim AS (SELECT *, quantile_cont(chi2, 0.9) OVER (PARTITION BY entity) AS lim FROM chi)
   SELECT entity, cut, round(chi2, 6) AS chi2 FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY cut) AS r FROM lim WHERE round(chi2, 9) > round(lim, 9)) WHERE r <= 5""")
 def change_points_chi2(spark, sf):
@@ -196,13 +212,16 @@ def life_phases(spark, sf):
 SEVERITY = "CASE state WHEN 'purchase' THEN 3.0::DOUBLE WHEN 'click' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END"
 TRAJECTORY = f"""WITH {SEQ}, x AS (SELECT *, {SEVERITY} AS sev, age - lag(age) OVER w AS gap, lead(state) OVER w AS nxt, count(*) OVER (PARTITION BY entity) AS n FROM seq WINDOW w AS (PARTITION BY entity ORDER BY pos)),
   f AS (SELECT entity, count(*) AS n, count(DISTINCT state) AS n_states, count(DISTINCT state)::DOUBLE / count(*) AS diversity, min_by(age, pos) AS first_age, max_by(age, pos) AS last_age,
-    max_by(age, pos) - min_by(age, pos) AS duration, coalesce(1.0 / nullif(avg(gap) FILTER (WHERE gap > 0), 0), 0.0::DOUBLE) AS rate, coalesce(stddev_pop(1.0 / gap) FILTER (WHERE gap > 0), 0.0::DOUBLE) AS rate_std,
+    max_by(age, pos) - min_by(age, pos) AS duration, CASE WHEN avg(gap) > 0 THEN 1.0::DOUBLE / avg(gap) ELSE 0.0::DOUBLE END AS rate, coalesce(stddev_pop(1.0 / gap) FILTER (WHERE gap > 0), 0.0::DOUBLE) AS rate_std,
     count(DISTINCT state || '>' || nxt) AS n_transitions, coalesce(regr_slope(sev * pos / n, pos::DOUBLE), 0.0::DOUBLE) AS severity_slope, max(sev * pos / n) AS max_severity,
-    avg((sev >= 3)::INT) FILTER (WHERE pos > n - 3) AS recent FROM x GROUP BY entity) """
+    avg((sev >= 3)::INT) FILTER (WHERE pos > n - 3) AS recent FROM x GROUP BY entity),
+  mv AS (SELECT entity, state, nxt, count(*) AS c FROM x WHERE nxt IS NOT NULL GROUP BY ALL),
+  en AS (SELECT entity, -sum(p * ln(p)) AS transition_entropy FROM (SELECT entity, c::DOUBLE / sum(c) OVER (PARTITION BY entity) AS p FROM mv) GROUP BY 1) """
 
 
 @query(TRAJECTORY + """SELECT entity, n, n_states, round(diversity, 6) AS diversity, round(first_age, 6) AS first_age, round(last_age, 6) AS last_age, round(duration, 6) AS duration, round(rate, 4) AS rate,
-  round(rate_std, 2) AS rate_std, n_transitions, round(severity_slope, 6) AS severity_slope, round(max_severity, 6) AS max_severity FROM f""")
+  round(rate_std, 2) AS rate_std, n_transitions, round(severity_slope, 6) AS severity_slope, round(max_severity, 6) AS max_severity,
+  round(coalesce(transition_entropy, 0.0::DOUBLE), 6) AS transition_entropy FROM f LEFT JOIN en USING (entity)""")
 def trajectory_features(spark, sf):
     f = R.features(event_sequences(spark, sf)).drop("recent")
     return rounded(f.withColumn("rate", F.round("rate", 4)).withColumn("rate_std", F.round("rate_std", 2)))
