@@ -27,7 +27,7 @@ def _sides(spark, sf):
 
 
 CELLS = f"""WITH {SEQ}, st AS (SELECT DISTINCT state FROM seq), {PAIRS}, cnt AS (SELECT entity % 2 AS side, from_state, to_state, count(*) AS c FROM pairs GROUP BY ALL),
-  g AS (SELECT side, a.state AS f, b.state AS t, coalesce(c, 0) AS c FROM range(0, 2) s(side), st a, st b LEFT JOIN cnt ON cnt.side = s.side AND from_state = a.state AND to_state = b.state),
+  g AS (SELECT s.side, a.state AS f, b.state AS t, coalesce(c, 0) AS c FROM range(0, 2) s(side), st a, st b LEFT JOIN cnt ON cnt.side = s.side AND from_state = a.state AND to_state = b.state),
   cells AS (SELECT row_number() OVER (ORDER BY side, f, t) - 1 AS k, CASE WHEN sum(c) OVER w > 0 THEN c::DOUBLE / sum(c) OVER w ELSE 1.0::DOUBLE / (SELECT count(*) FROM st) END AS value FROM g WINDOW w AS (PARTITION BY side, f))"""
 
 
