@@ -13,8 +13,8 @@ from chainlake.operators import validation as V
 from chainlake.operators import vectors as K
 from chainlake.plans.registry import PAIRS, SEQ, event_sequences, query, read, rounded, vectors
 
-#: The order of a replicate's shuffle and its ties, as in ``validation.shuffled``.
-KEY = "((rep * 1000003 + {k}) * 1103515245 + 12345) % 2147483648"
+#: The order of a replicate's shuffle, as in ``validation.shuffled``.
+KEY = "md5(rep || ':' || {k})"
 
 
 def _sides(spark, sf):
@@ -32,7 +32,7 @@ CELLS = f"""WITH {SEQ}, st AS (SELECT DISTINCT state FROM seq), {PAIRS}, cnt AS
 
 
 def _permuted(cells: str, distance: str, reps: int) -> str:
-    return f"""{cells}, n AS (SELECT count(*) // 2 AS m FROM cells), many AS (SELECT rep, value, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep < 0 THEN k ELSE {KEY.format(k="k")} END, k) - 1 AS place FROM cells, range(-1, {reps}) r(rep)),
+    return f"""{cells}, n AS (SELECT count(*) // 2 AS m FROM cells), many AS (SELECT rep, value, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep < 0 THEN '' ELSE {KEY.format(k="k")} END, k) - 1 AS place FROM cells, range(-1, {reps}) r(rep)),
   d AS (SELECT rep, place % m AS i, max(value) FILTER (WHERE place < m) - max(value) FILTER (WHERE place >= m) AS d FROM many, n GROUP BY ALL),
   x AS (SELECT rep, round({distance}, 12) AS x FROM d GROUP BY rep), o AS (SELECT x AS observed FROM x WHERE rep < 0)
   SELECT round(observed, 6) AS observed, round(avg(x), 6) AS permuted_mean, round(stddev_pop(x), 6) AS permuted_std, round(avg((x >= observed)::INT), 6) AS p_value, round((observed - avg(x)) / stddev_pop(x), 4) AS effect_size FROM x, o WHERE rep >= 0 GROUP BY observed"""
@@ -83,7 +83,7 @@ def bootstrap_mean_length(spark, sf):
     return rounded(V.bootstrap_metric(values, 200, V.weighted_mean))
 
 
-@query(f"""WITH {SEQ}, many AS (SELECT rep, entity, list(state ORDER BY CASE WHEN rep < 0 THEN pos ELSE {KEY.replace("rep", "(rep + entity)").format(k="pos")} END, pos) AS s FROM seq, range(-1, 20) r(rep) GROUP BY ALL),
+@query(f"""WITH {SEQ}, many AS (SELECT rep, entity, list(state ORDER BY CASE WHEN rep < 0 THEN '' ELSE {KEY.format(k="entity || ':' || pos")} END, pos) AS s FROM seq, range(-1, 20) r(rep) GROUP BY ALL),
   c AS (SELECT rep, count(*) FILTER (WHERE len(list_filter(range(1, len(s) + 1), lambda i: s[i] = 'error' AND list_contains(s[1:i - 1], 'signup'))) > 0) AS c, count(*) AS n FROM many GROUP BY rep), o AS (SELECT c AS observed, n FROM c WHERE rep < 0),
   k AS (SELECT count(DISTINCT state) AS k FROM seq)
   SELECT observed, o.n, round(observed::DOUBLE / o.n, 6) AS frequency, round(power(1.0::DOUBLE / k, 2), 6) AS expected, round(observed::DOUBLE / o.n * k * k, 6) AS fold,
