@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chainlake.functions import standardise as N
 from chainlake.functions import text as C
+from chainlake.operators import ensembles as E
 from chainlake.operators import markov as M
 from chainlake.operators import sequences as S
 from chainlake.operators import stats, trajectory
@@ -96,7 +97,7 @@ def pattern_significance(spark, sf):
 @query(f"""WITH {SEQ}, c AS (SELECT state, entity % 2 AS side, count(*) AS c FROM seq GROUP BY ALL), s AS (SELECT state, side, c::DOUBLE / sum(c) OVER (PARTITION BY side) AS p FROM c),
   w AS (SELECT state, count(*)::DOUBLE / (SELECT count(*) FROM seq) AS q FROM seq GROUP BY 1), l AS (SELECT side, sum(abs(p - q)) AS l1 FROM s JOIN w USING (state) GROUP BY 1)
   SELECT side, round(l1, 6) AS l1, CASE WHEN l1 < 0.1 THEN 'negligible' WHEN l1 < 0.3 THEN 'small' WHEN l1 < 0.5 THEN 'medium' ELSE 'large' END AS category FROM l""")
-def effect_categories(spark, sf):
+def half_effect_categories(spark, sf):
     seq = event_sequences(spark, sf).withColumn("side", F.pmod("entity", F.lit(2)).cast("long"))
     c = seq.groupBy("side", "state").agg(F.count(F.lit(1)).alias("c"))
     p = c.withColumn("p", F.col("c") / F.sum("c").over(V.Window.partitionBy("side")))
@@ -247,3 +248,30 @@ def trajectory_risk(spark, sf):
     seq = event_sequences(spark, sf)
     kinds = trajectory.types(trajectory.features(seq), restarts=2)
     return trajectory.risk(seq).join(kinds, "entity")
+
+
+@query()
+def ensemble_consensus(spark, sf):
+    return E.consensus(E.ensemble_runs(vectors(spark, sf), 4, ("kmeans", "bisecting"), 2), 4)
+
+
+@query()
+def robust_clusters(spark, sf):
+    return E.robust_clusters(vectors(spark, sf), range(3, 6), ("kmeans", "bisecting"))
+
+
+@query()
+def gaussian_clusters(spark, sf):
+    return E.clustered(vectors(spark, sf), 4, "gaussian", components=8)
+
+
+@query()
+def multi_view_clusters(spark, sf):
+    x = vectors(spark, sf)
+    halves = [x.select("id", F.slice("v", a, 32).alias("v")) for a in (1, 33)]
+    return E.clustered(E.views_joined(*halves), 4)
+
+
+@query()
+def entity_matrix_clusters(spark, sf):
+    return E.entity_clusters(event_sequences(spark, sf))

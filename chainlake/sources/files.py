@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainlake.functions.clean import clean_attributes, parse_age
+from chainlake.operators.matching import entity_key, season_free
 
 COLUMNS = 8
 
@@ -69,3 +70,41 @@ def write_json(df: DataFrame, path: str) -> None:
 def manifest(spark: SparkSession) -> DataFrame:
     """One row: versions and the settings that change results."""
     return spark.createDataFrame([(spark.version, spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.shuffle.partitions"))], "spark string, time_zone string, shuffle_partitions string")
+
+
+def read_matched(spark: SparkSession, events_path: str, attributes_path: str, clean: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Events and attributes of the entities that both folders have, with ``entity`` the key that both sides share."""
+    key = lambda c: season_free(entity_key(c))
+    events = read_events(spark, events_path).withColumn("entity", key(F.col("entity_id")))
+    attributes = read_attributes(spark, attributes_path, clean).withColumn("entity", key(F.col("entity")))
+    return events.join(attributes.select("entity").distinct(), "entity", "left_semi"), attributes.join(events.select("entity").distinct(), "entity", "left_semi")
+
+
+#: The folders below a run's root.
+LAYOUT = ("clustering", "markov", "visualization", "analysis", "data")
+
+
+def output_paths(root: str) -> dict[str, str]:
+    return {name: f"{root.rstrip('/')}/{name}" for name in LAYOUT}
+
+
+def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
+    """One folder per value of ``by``, as for the matrices of conditions."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def markdown(tables: dict[str, DataFrame], rows: int = 20) -> str:
+    """A report of the first ``rows`` rows of each result table; only those reach the driver."""
+    out = []
+    for name, df in tables.items():
+        out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        out += ["| " + " | ".join(str(v).replace("|", "\\|") for v in r) + " |" for r in df.limit(rows).collect()] + [""]
+    return "\n".join(out)
+
+
+def demo_events(spark: SparkSession, entities: int = 10, least: int = 5) -> DataFrame:
+    """entity, pos, state, age of made-up sequences, the same in every run."""
+    states = F.array(*[F.lit(x) for x in ("school", "work", "theft", "arrest", "prison")])
+    rows = spark.range(entities).select(F.col("id").alias("entity"), F.explode(F.sequence(F.lit(1), F.lit(least) + F.pmod(F.col("id"), F.lit(10)).cast("int"))).alias("pos"))
+    at = F.pmod(F.xxhash64("entity", "pos"), F.lit(5)).cast("int")
+    return rows.select("entity", F.col("pos").cast("long").alias("pos"), F.get(states, at).alias("state"), (F.lit(10.0) + 2 * F.col("pos")).alias("age"))
