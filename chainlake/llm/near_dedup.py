@@ -302,12 +302,12 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
     kept = rows.groupBy("class_id").agg(F.min(order).alias("kept"))
     fate = rows.join(kept, "class_id").where((F.col("times") > 1) | (order != F.col("kept"))).select("doc_id", "t1", "t2", order.eqNullSafe(F.col("kept")).alias("stays"))
-    # Rows without a fate stay. The list is stored, so the planner sends it to all tasks only if it is known to be small.
+    # Rows without a fate stay. The list grows with the documents, so it is never sent whole, and plans are alike at all sizes.
     fate = stored(fate.select(*[F.col(c).alias(f"fate_{c}") for c in ("doc_id", "t1", "t2")], "stays"), "fates")
     marks = [F.col("doc_id").alias("own_doc_id"), *(m.alias(f"own_{n}") for m, n in zip(text_marks(), ("t1", "t2"), strict=True))]
     wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *marks)
     same = [F.col(f"own_{c}").eqNullSafe(F.col(f"fate_{c}")) for c in ("doc_id", "t1", "t2")]
-    joined = wrapped.join(fate, same, "left")
+    joined = wrapped.join(fate.hint("merge"), same, "left")
     out = joined.where(F.col("stays").isNull())
     if not fate.where("stays").isEmpty():
         out = out.unionByName(joined.where("stays").dropDuplicates(["own_doc_id", "own_t1", "own_t2"]))
