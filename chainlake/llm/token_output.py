@@ -48,11 +48,11 @@ class Pieces(dict):
     """piece -> its ids, in two generations. When the younger one is full it becomes the older, and what was in that is
     forgotten unless it was met again since. A piece that is in neither is noted in ``new`` and looked up as None."""
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
-    def __init__(self):
+    def __init__(self, older: dict[str, bytes] | None = None):
         super().__init__()
-        self.older: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {} if older is None else older
         self.new: set[str] = set()
 
     def __missing__(self, piece: str) -> bytes | None:
@@ -63,10 +63,12 @@ class Pieces(dict):
             self[piece] = held
         return held
 
-    def age(self) -> None:
-        if len(self) > self.LIMIT:
-            self.older = dict(self)
-            self.clear()
+    def aged(self) -> Pieces:
+        """These pieces, or if they are too many a new generation with these as the older one."""
+        if len(self) <= self.LIMIT:
+            return self
+        self.older = {}
+        return Pieces(self)
 
 
 class Encoder:
@@ -124,8 +126,7 @@ class Encoder:
                 cut.append(None)
             else:
                 cut.append(None if "<|" in text else _PIECE.findall(text.lower()))
-        known = self.known
-        known.age()
+        known = self.known = self.known.aged()
         found = [pieces and list(map(known.__getitem__, pieces)) for pieces in cut]
         new = list(known.new)
         known.new.clear()
