@@ -24,7 +24,7 @@ def assigned(entities: DataFrame, attributes: DataFrame) -> DataFrame:
     """A value for every entity and heading, ``Unknown`` where it has none. Headings are a small dimension."""
     headings = attributes.select("heading_key").distinct()
     known = condition_map(attributes)
-    return entities.select("entity").distinct().join(F.broadcast(headings)).join(known, ["heading_key", "entity"], "left").withColumn("value", F.coalesce("value", F.lit("Unknown")))
+    return entities.select("entity").distinct().join(headings).join(known, ["heading_key", "entity"], "left").withColumn("value", F.coalesce("value", F.lit("Unknown")))
 
 
 def large_groups(conditions: DataFrame, least: int = MIN_GROUP) -> DataFrame:
@@ -48,7 +48,7 @@ def conditional_matrices(seq: DataFrame, conditions: DataFrame, least: int = MIN
 
 def distances(groups: DataFrame, whole: DataFrame, *keys: str) -> DataFrame:
     """L1, total variation, Frobenius and Wasserstein-1 (of the sorted cells) between each group's matrix and the whole."""
-    both = groups.join(F.broadcast(whole.select("from_state", "to_state", F.col("prob").alias("q"))), ["from_state", "to_state"])
+    both = groups.join(whole.select("from_state", "to_state", F.col("prob").alias("q")), ["from_state", "to_state"])
     w = Window.partitionBy(*keys)
     ranked = both.withColumn("rp", F.row_number().over(w.orderBy("prob", "from_state", "to_state"))).withColumn("rq", F.row_number().over(w.orderBy("q", "from_state", "to_state")))
     a = ranked.select(*keys, F.col("rp").alias("r"), F.col("prob").alias("x"))
@@ -61,7 +61,7 @@ def distances(groups: DataFrame, whole: DataFrame, *keys: str) -> DataFrame:
 
 def chi2_statistic(groups: DataFrame, whole: DataFrame, *keys: str, scale: int = 1000) -> DataFrame:
     """Pearson's statistic and degrees of freedom of truncated pseudo-counts; columns of zeros are left out."""
-    both = groups.join(F.broadcast(whole.select("from_state", "to_state", F.col("prob").alias("q"))), ["from_state", "to_state"])
+    both = groups.join(whole.select("from_state", "to_state", F.col("prob").alias("q")), ["from_state", "to_state"])
     cells = both.withColumn("a", (F.col("prob") * scale).cast("int")).withColumn("b", (F.col("q") * scale).cast("int")).where("a + b > 0")
     w = Window.partitionBy(*keys)
     cells = cells.withColumn("ra", F.sum("a").over(w)).withColumn("rb", F.sum("b").over(w))
@@ -73,7 +73,7 @@ def chi2_statistic(groups: DataFrame, whole: DataFrame, *keys: str, scale: int =
 
 def ks_statistic(groups: DataFrame, whole: DataFrame, *keys: str) -> DataFrame:
     """The largest difference of the two empirical distributions of matrix cells."""
-    both = groups.join(F.broadcast(whole.select("from_state", "to_state", F.col("prob").alias("q"))), ["from_state", "to_state"])
+    both = groups.join(whole.select("from_state", "to_state", F.col("prob").alias("q")), ["from_state", "to_state"])
     long = both.select(*keys, F.explode(F.array(F.struct(F.round("prob", 9).alias("v"), F.lit(1).alias("s")), F.struct(F.round("q", 9).alias("v"), F.lit(0).alias("s")))).alias("x")).select(*keys, "x.v", "x.s")
     steps = long.groupBy(*keys, "v").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b"))
     w = Window.partitionBy(*keys)
@@ -91,7 +91,7 @@ def insights(seq: DataFrame, conditions: DataFrame, threshold: float = 0.1, n_pe
     matrices = conditional_matrices(seq, conditions)
     own = stationary(matrices, "heading_key", "value")
     whole = stationary(transition_matrix(seq)).select("state", F.col("pi").alias("pi_all"))
-    both = own.join(F.broadcast(whole), "state").join(large_groups(conditions), ["heading_key", "value"])
+    both = own.join(whole, "state").join(large_groups(conditions), ["heading_key", "value"])
 
     def test(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("state")

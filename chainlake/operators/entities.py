@@ -11,7 +11,7 @@ from chainlake.operators.stats import draw, indexed
 def state_shares(seq: DataFrame) -> DataFrame:
     """entity, state, share, over all states of the table; 0 where an entity lacks one."""
     counts = seq.groupBy("entity", "state").agg(F.count(F.lit(1)).alias("c"))
-    full = counts.select("entity").distinct().join(F.broadcast(seq.select("state").distinct())).join(counts, ["entity", "state"], "left")
+    full = counts.select("entity").distinct().join(seq.select("state").distinct()).join(counts, ["entity", "state"], "left")
     c = F.coalesce("c", F.lit(0))
     return full.select("entity", "state", (c / F.sum(c).over(Window.partitionBy("entity"))).alias("share"))
 
@@ -32,7 +32,7 @@ def mean_matrices(matrices: DataFrame, labels: DataFrame) -> DataFrame:
     """label, from_state, to_state, prob: mean of the entity matrices (entity, from_state, to_state, prob) of a label."""
     sizes = labels.groupBy("label").agg(F.countDistinct("entity").alias("n"))
     sums = matrices.join(labels.select("entity", "label"), "entity").groupBy("label", "from_state", "to_state").agg(F.sum("prob").alias("s"))
-    return sums.join(F.broadcast(sizes), "label").select("label", "from_state", "to_state", (F.col("s") / F.col("n")).alias("prob"))
+    return sums.join(sizes, "label").select("label", "from_state", "to_state", (F.col("s") / F.col("n")).alias("prob"))
 
 
 def regression(features: DataFrame, columns: list[str], k: int = 5, seed: int = 42) -> DataFrame:

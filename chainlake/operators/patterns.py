@@ -20,7 +20,7 @@ def prefix_counts(seq: DataFrame) -> DataFrame:
     Running sums over one-hot rows; states are few, so each position gives k rows.
     """
     states = seq.select(F.col("state").alias("s")).distinct()
-    hot = seq.join(F.broadcast(states)).select("entity", "pos", "s", (F.col("state") == F.col("s")).cast("long").alias("hit"))
+    hot = seq.join(states).select("entity", "pos", "s", (F.col("state") == F.col("s")).cast("long").alias("hit"))
     w = Window.partitionBy("entity", "s")
     before = F.coalesce(F.sum("hit").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return hot.select("entity", (F.col("pos") - 1).alias("cut"), F.count(F.lit(1)).over(w).alias("n"), F.col("s").alias("state"), before.alias("before"), (F.sum("hit").over(w) - before).alias("after"))

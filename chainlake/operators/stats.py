@@ -72,14 +72,3 @@ def kruskal_h(df: DataFrame, group: str, value: str) -> DataFrame:
 def folds(entities: DataFrame, k: int = 5) -> DataFrame:
     """entity, fold by a congruence of the entity's number."""
     return indexed(entities).select("entity", draw(F.lit(0).cast("long"), F.col("k"), F.lit(k)).alias("fold"))
-
-
-def label_permutation(df: DataFrame, reps: int) -> DataFrame:
-    """rep, between: sum over labels of n * squared mean of x after permuting labels by hashed rank, rep 0 as observed."""
-    spark = df.sparkSession
-    rows = running_total(df, ["id"], F.lit(1), "k").withColumn("k", F.col("k").cast("long"))
-    runs = spark.range(reps + 1).select(F.col("id").alias("rep"))
-    key = F.when(F.col("rep") == 0, F.lit("")).otherwise(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("k").cast("string")).cast("binary")))
-    many = rows.select("k", "x").join(F.broadcast(runs)).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(key, "k")).cast("long") - 1)
-    moved = many.select("rep", "r", "x").join(rows.select(F.col("k").alias("r"), "label"), "r")
-    return moved.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m")).groupBy("rep").agg(F.sum(F.col("n") * F.col("m") * F.col("m")).alias("between"))

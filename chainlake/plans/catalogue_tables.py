@@ -9,6 +9,7 @@ from chainlake.operators import conditional as D
 from chainlake.operators import markov as M
 from chainlake.operators import matching as J
 from chainlake.operators import stats as V
+from chainlake.operators import validation as I
 from chainlake.operators import vectors as K
 from chainlake.operators.sequences import adjacent
 from chainlake.plans.registry import ATTRIBUTES, ORDERS, PAIRS, customer_attributes, event_sequences, matrix_sql, order_sequences, query, read, rounded, vectors
@@ -272,23 +273,23 @@ def nmi(spark, sf):
     return rounded(K.normalized_mutual_information(_two(spark, sf), "label", "other"))
 
 
-RUNS = "runs AS (SELECT 0 AS run, vec_id AS id, label FROM embeddings WHERE vec_id < 200 UNION ALL SELECT 1, vec_id, (vec_id % 7)::INT FROM embeddings WHERE vec_id < 200), co AS (SELECT x.id AS a, y.id AS b, count(*)::DOUBLE / 2 AS agree FROM runs x JOIN runs y ON x.run = y.run AND x.label = y.label AND x.id < y.id GROUP BY ALL)"
+RUNS = "runs AS (SELECT 0 AS run, vec_id AS id, label FROM embeddings UNION ALL SELECT 1, vec_id, (vec_id % 7)::INT FROM embeddings), co AS (SELECT x.id AS a, y.id AS b, count(*)::DOUBLE / 2 AS agree FROM runs x JOIN runs y ON x.run = y.run AND x.label = y.label AND x.id < y.id GROUP BY ALL)"
 
 
 def _runs(spark, sf):
-    two = _two(spark, sf).where("id < 200")
+    two = _two(spark, sf)
     return two.select(F.lit(0).alias("run"), "id", "label").unionByName(two.select(F.lit(1).alias("run"), "id", F.col("other").alias("label")))
 
 
 @query(f"WITH {RUNS} SELECT agree, count(*) AS n_pairs FROM co GROUP BY 1")
 def coassociation(spark, sf):
-    return K.coassociation(_runs(spark, sf)).groupBy("agree").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return K.coassociation(_runs(spark, sf)).groupBy("agree").agg(F.sum("n_pairs").alias("n_pairs"))
 
 
-@query(f"""WITH {RUNS}, bt AS (SELECT a, b, agree FROM co UNION ALL SELECT b, a, agree FROM co), l AS (SELECT vec_id AS id, label FROM embeddings WHERE vec_id < 200)
+@query(f"""WITH {RUNS}, bt AS (SELECT a, b, agree FROM co UNION ALL SELECT b, a, agree FROM co), l AS (SELECT vec_id AS id, label FROM embeddings)
   SELECT x.id, round(coalesce(sum(agree) FILTER (WHERE y.label = x.label), 0) / (SELECT count(*) FROM l z WHERE z.label = x.label), 6) AS confidence FROM l x LEFT JOIN bt ON bt.a = x.id LEFT JOIN l y ON y.id = bt.b GROUP BY x.id, x.label""")
 def confidence(spark, sf):
-    return rounded(K.confidence(_runs(spark, sf), _two(spark, sf).where("id < 200").select("id", "label")))
+    return rounded(K.confidence(_runs(spark, sf), _two(spark, sf).select("id", "label")))
 
 
 EDGES = "e AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3)"
@@ -340,7 +341,7 @@ def group_folds(spark, sf):
 
 @query()
 def permutation_label_null(spark, sf):
-    return V.label_permutation(vectors(spark, sf).select("id", "label", F.get("v", F.lit(0)).cast("double").alias("x")), 20)
+    return I.silhouette_permutation(vectors(spark, sf))
 
 
 @query()
@@ -350,7 +351,7 @@ def kmeans_states(spark, sf):
 
 @query()
 def gmm_types(spark, sf):
-    return K.gaussian_types(vectors(spark, sf).withColumn("v", F.slice("v", 1, 8)))
+    return K.gaussian_types(vectors(spark, sf))
 
 
 @query()
