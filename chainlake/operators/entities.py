@@ -63,3 +63,17 @@ def regression(features: DataFrame, columns: list[str], k: int = 5, seed: int =
 def state_target(seq: DataFrame, state: str) -> DataFrame:
     """entity, y: whether an entity is ever in a state."""
     return seq.groupBy("entity").agg(F.max((F.col("state") == state).cast("int")).alias("y"))
+
+
+def regressions(targets: dict[str, DataFrame], feature_sets: dict[str, list[str]], k: int = 5, seed: int = 42) -> DataFrame:
+    """target, features, n, accuracy, f1, best: every target (entity, y, columns) on every set of columns.
+
+    ``best`` marks the most accurate target of a set, the first by name of equals; a target without a model is none.
+    """
+    out = None
+    for target, rows in targets.items():
+        for name, columns in feature_sets.items():
+            one = regression(rows, columns, k, seed).select(F.lit(target).alias("target"), F.lit(name).alias("features"), "n", "accuracy", "f1")
+            out = one if out is None else out.unionByName(one)
+    first = F.row_number().over(Window.partitionBy("features").orderBy(F.desc_nulls_last("accuracy"), "target"))
+    return out.withColumn("best", (first == 1) & F.col("accuracy").isNotNull())
