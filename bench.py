@@ -23,7 +23,8 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf}/region.parquet").count()
+    # Not timed: starts the executor threads and the code generator.
+    catalogue.QUERIES[HEADLINE[0]](spark, sf).write.format("noop").mode("overwrite").save()
     took = {}
     for name in HEADLINE:
         began = time.perf_counter()

@@ -47,16 +47,16 @@ def conditional_matrices(seq: DataFrame, conditions: DataFrame, least: int = MIN
 
 
 def distances(groups: DataFrame, whole: DataFrame, *keys: str) -> DataFrame:
-    """L1, total variation, Frobenius and Wasserstein-1 (of the sorted cells) between each group's matrix and the whole."""
+    """L1, total variation, Frobenius and Wasserstein-1 (of the sorted cells) between each group's matrix and the whole.
+
+    One aggregation: a group holds as many cells as the states have pairs.
+    """
     both = groups.join(whole.select("from_state", "to_state", F.col("prob").alias("q")), ["from_state", "to_state"])
-    w = Window.partitionBy(*keys)
-    ranked = both.withColumn("rp", F.row_number().over(w.orderBy("prob", "from_state", "to_state"))).withColumn("rq", F.row_number().over(w.orderBy("q", "from_state", "to_state")))
-    a = ranked.select(*keys, F.col("rp").alias("r"), F.col("prob").alias("x"))
-    b = ranked.select(*keys, F.col("rq").alias("r"), F.col("q").alias("y"))
-    w1 = a.join(b, [*keys, "r"]).groupBy(*keys).agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("w1"))
     d = F.col("prob") - F.col("q")
-    plain = both.groupBy(*keys).agg(F.sum(F.abs(d)).alias("l1"), (F.sum(F.abs(d)) / 2).alias("tv"), F.sqrt(F.sum(d * d)).alias("frobenius"))
-    return plain.join(w1, list(keys))
+    cells = lambda c: F.array_sort(F.collect_list(c)).alias(c)
+    one = both.groupBy(*keys).agg(F.sum(F.abs(d)).alias("l1"), F.sqrt(F.sum(d * d)).alias("frobenius"), cells("prob"), cells("q"))
+    gaps = F.aggregate(F.zip_with("prob", "q", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    return one.select(*keys, "l1", (F.col("l1") / 2).alias("tv"), "frobenius", (gaps / F.size("prob")).alias("w1"))
 
 
 def chi2_statistic(groups: DataFrame, whole: DataFrame, *keys: str, scale: int = 1000) -> DataFrame:
