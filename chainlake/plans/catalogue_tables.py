@@ -304,7 +304,7 @@ def similarity_edges(spark, sf):
   SELECT (SELECT count(*) FROM d) AS n_nodes, (SELECT round(avg(d), 6) FROM d) AS average_degree, (SELECT count(*) FROM e) AS n_edges,
     (SELECT count(*) FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) AS n_triangles""")
 def network_stats(spark, sf):
-    return rounded(K.network_stats(K.similarity_edges(vectors(spark, sf), 0.3)))
+    return rounded(K.similarity_network(vectors(spark, sf), 0.3))
 
 
 @query(f"""WITH {VEC}, core AS (SELECT id, label, v FROM (SELECT *, quantile_cont(d, 0.85) OVER (PARTITION BY label) AS lim FROM dist) WHERE d <= lim),
