@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import GaussianMixture
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -130,11 +133,103 @@ def type_changes(early: DataFrame, late: DataFrame) -> DataFrame:
     return n.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("early_type")))
 
 
+TYPE_FEATURES = ["n", "diversity", "duration", "severity_slope", "max_severity"]
+#: Rows of one task of a pass, at least; fewer than so many a task cost more to start than to read.
+PASS_ROWS = 8192
+
+
+def drawn(data: DataFrame, runs: int, size: int) -> np.ndarray:
+    """(run, slot, feature): ``size`` rows (entity, features) of each run, those with the smallest hashes, repeated if there are fewer."""
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for run in range(runs):
+                yield x.nsmallest(size, f"h{run}")[[f"h{run}", "entity", "x"]].set_axis(["h", "entity", "x"], axis=1).assign(run=run)
+
+    hashed = data.select("entity", vector_to_array("features").alias("x"), *[F.xxhash64("entity", F.lit(run)).alias(f"h{run}") for run in range(runs)])
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("h", "entity"))
+    few = hashed.mapInPandas(least, f"h long, entity {dict(data.dtypes)['entity']}, x array<double>, run int").withColumn("r", rank).where(F.col("r") <= size)
+    rows = [[r["x"] for r in found] for found in _by_run(few.collect(), runs)]
+    return np.array([[x[i % len(x)] for i in range(size)] for x in rows])
+
+
+def _by_run(rows: list, runs: int) -> list[list]:
+    return [sorted((r for r in rows if r["run"] == run), key=lambda r: r["r"]) for run in range(runs)]
+
+
+def weighted_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """(row, run, kind): density of the row by the kind, times its weight; with pseudo-inverses, as Spark's mixture has them."""
+    out = np.empty((len(x), *weight.shape))
+    for run, kind in np.ndindex(weight.shape):
+        values, vectors = np.linalg.eigh(cov[run, kind])
+        kept = values > np.finfo(float).eps * values.max() * len(values)
+        root = vectors[:, kept] / np.sqrt(values[kept])
+        apart = ((x - mean[run, kind]) @ root) ** 2
+        logarithm = -0.5 * (len(values) * np.log(2 * np.pi) + np.log(values[kept]).sum() + apart.sum(axis=1))
+        out[:, run, kind] = np.finfo(float).eps + weight[run, kind] * np.exp(logarithm)
+    return out
+
+
+def mixtures(data: DataFrame, k: int, restarts: int, passes: int = 50, tolerance: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weights, means, covariances and log-likelihood of the likeliest of some full-covariance mixtures of (entity, features).
+
+    By the steps of Spark's ``GaussianMixture``, but all restarts go through one pass over the rows, which gives some sums
+    by restart and kind; a restart stops by itself. First kinds are of five rows each, drawn by a hash of the entity, so
+    they do not depend on how rows lie in partitions.
+    """
+    first = drawn(data, restarts, 5 * k).reshape(restarts, k, 5, -1)
+    wide = first.shape[-1]
+    weight, mean = np.full((restarts, k), 1 / k), first.mean(axis=2)
+    cov = np.eye(wide) * first.var(axis=2)[..., None]
+    likely, before, open_runs = np.full(restarts, -np.inf), np.full(restarts, np.inf), np.arange(restarts)
+    vectors = data.select(vector_to_array("features").alias("x"))
+    for _ in range(passes):
+        now = tuple(p[open_runs] for p in (weight, mean, cov))
+
+        def sums(batches: Iterator[pd.DataFrame], now: tuple = now) -> Iterator[pd.DataFrame]:
+            """Of each restart and kind: responsibility, and by it the rows and their products; of each restart: log-likelihood."""
+            total = 0
+            for batch in batches:
+                if len(batch):
+                    x = np.stack(batch["x"])
+                    p = weighted_densities(x, *now)
+                    whole = p.sum(axis=2)
+                    p /= whole[..., None]
+                    products = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+                    each = np.concatenate([np.ones((len(x), 1)), x, products], axis=1)
+                    total = total + np.concatenate([(p.reshape(len(x), -1).T @ each).ravel(), np.log(whole).sum(axis=0)])
+            if not np.isscalar(total):
+                yield pd.DataFrame({"s": [total.tolist()]})
+
+        s = np.sum([r["s"] for r in vectors.mapInPandas(sums, "s array<double>").collect()], axis=0)
+        score, s = s[-len(open_runs) :], s[: -len(open_runs)].reshape(len(open_runs), k, -1)
+        r = s[..., 0]
+        weight[open_runs] = r / r.sum(axis=1)[:, None]
+        mean[open_runs] = middle = s[..., 1 : wide + 1] / r[..., None]
+        cov[open_runs] = s[..., wide + 1 :].reshape(len(open_runs), k, wide, wide) / r[..., None, None] - middle[..., :, None] * middle[..., None, :]
+        before[open_runs], likely[open_runs] = likely[open_runs], score
+        open_runs = open_runs[np.abs(score - before[open_runs]) > tolerance]
+        if not len(open_runs):
+            break
+    best = int(np.argmax(likely))
+    return weight[best], mean[best], cov[best], float(likely[best])
+
+
 def types(found: DataFrame, k: int = 4, restarts: int = 10) -> DataFrame:
     """entity, type, probability: the likeliest of some full-covariance mixtures over standardised features."""
-    columns = ["n", "diversity", "duration", "severity_slope", "max_severity"]
-    raw = VectorAssembler(inputCols=columns, outputCol="raw").transform(found)
-    data = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("entity", "features").cache()
-    fits = [GaussianMixture(k=k, seed=i + 1, maxIter=50).fit(data) for i in range(restarts)]
-    best = max(fits, key=lambda m: m.summary.logLikelihood)
-    return best.transform(data).select("entity", F.col("prediction").alias("type"), F.array_max(vector_to_array("probability")).alias("probability"))
+    kind = f"entity {dict(found.dtypes)['entity']}, type int, probability double"
+    rows = found.select("entity", *TYPE_FEATURES).persist()
+    n = rows.count()
+    if not n:
+        return found.sparkSession.createDataFrame([], kind)
+    raw = VectorAssembler(inputCols=TYPE_FEATURES, outputCol="raw").transform(rows.coalesce(max(1, min(n // PASS_ROWS, found.sparkSession.sparkContext.defaultParallelism))))
+    data = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("entity", "features").persist()
+    weight, mean, cov, _ = mixtures(data, k, restarts)
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                p = weighted_densities(np.stack(x["x"]), weight[None], mean[None], cov[None])[:, 0]
+                yield pd.DataFrame({"entity": x["entity"], "type": p.argmax(axis=1).astype("int32"), "probability": p.max(axis=1) / p.sum(axis=1)})
+
+    return data.select("entity", vector_to_array("features").alias("x")).mapInPandas(named, kind)
