@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlake.operators.sequences import running_total
+from chainlake.operators.sequences import assembled, running_total
 
 INFINITE = 1e308
 
@@ -142,43 +146,89 @@ def phase_name(age):
     return F.when(age < 12, "Early Childhood").when(age < 18, "Adolescence").when(age < 25, "Early Adulthood").when(age < 40, "Middle Adulthood").otherwise("Late Adulthood")
 
 
-def next_places(seq: DataFrame) -> DataFrame:
-    """entity, at, state, next: where after each place (0 is the start) a state stands first.
+def next_places(codes: np.ndarray, kinds: int) -> np.ndarray:
+    """(place, state): where after each place (0 is the start) a state stands first, from 1; 0 if it does not."""
+    n = len(codes)
+    at = np.full((n + 1, kinds), n + 1, dtype=np.int64)
+    at[np.arange(n), codes] = np.arange(1, n + 1)
+    at = np.minimum.accumulate(at[::-1], axis=0)[::-1]
+    return np.where(at > n, 0, at)
 
-    A state's event is the next one for all places from the state's event before it on.
-    """
-    before = F.coalesce(F.lag("pos").over(Window.partitionBy("entity", "state").orderBy("pos")), F.lit(0))
-    return seq.withColumn("before", before).select("entity", "state", F.col("pos").alias("next"), F.explode(F.sequence(F.col("before"), F.col("pos") - 1)).alias("at"))
+
+#: Patterns of a level that a batch counts in one array; more are sorted.
+DENSE = 1 << 22
 
 
 def frequent_subsequences(seq: DataFrame, support: float = 0.1, longest: int = 5, shortest: int = 2) -> DataFrame:
     """pattern, n_sequences of the patterns (gaps allowed) of up to ``longest`` states in int(support * n) sequences.
 
-    Level by level: of each sequence and each frequent pattern in it one row is held, with the earliest place where the
-    pattern ends. An equality join with the places that come next gives all longer patterns at once; each level is one
-    aggregation. Levels are stored while the next is made; the counts that come out are as many as there are patterns.
+    Level by level: a task walks the frequent patterns in each of its sequences, to the earliest place where each ends, and
+    counts what comes next. What goes on is one row of a batch and pattern, none of a sequence and pattern. The frequent
+    patterns are held on the driver, as those that come out are. A sequence, as codes of frequent states, is one row.
     """
+    spark = seq.sparkSession
     n = seq.select("entity").distinct().count()
     least = max(int(support * n), 1)
-    places = next_places(seq).persist()
-    held = places.where("at = 0").select("entity", F.array("state").alias("pattern"), F.col("next").alias("at")).persist()
-    found = []
-    for size in range(1, longest + 1):
-        counts = held.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_sequences")).where(F.col("n_sequences") >= least)
-        rows = [(r["pattern"], r["n_sequences"]) for r in counts.collect()]
-        if not rows:
+    held = seq.select("entity", "state").distinct().groupBy("state").agg(F.count(F.lit(1)).alias("n_sequences")).where(F.col("n_sequences") >= least)
+    single = [(r["state"], r["n_sequences"]) for r in held.orderBy("state").collect()]
+    found = [([s], c) for s, c in single] if shortest <= 1 <= longest else []
+    names, kinds = pa.array([s for s, _ in single], pa.string()), len(single)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = batch.column("states")
+            codes = pc.index_in(states.flatten().cast(pa.string()), names)
+            row = pc.list_parent_indices(states).to_numpy()[codes.is_valid().to_numpy(zero_copy_only=False)]
+            starts = np.searchsorted(row, np.arange(len(states) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(starts), codes.drop_null())], ["codes"])
+
+    whole = assembled(seq.where(F.col("entity").isNotNull()).select("entity", "pos", "state")).select("states")
+    codes = whole.mapInArrow(coded, "codes array<int>").persist()
+    # Of each level, patterns in order: which of the level before they go on from, and their last state.
+    levels = [(np.zeros(kinds, np.int64), np.arange(kinds))]
+    patterns = [[s] for s, _ in single]
+    for _ in range(2, longest + 1):
+        if not patterns:
             break
-        counts = seq.sparkSession.createDataFrame(rows, "pattern array<string>, n_sequences long")
-        found += rows if size >= shortest else []
-        if size < longest:
-            kept = held.join(counts.select("pattern"), "pattern", "left_semi")
-            longer = kept.join(places, ["entity", "at"]).select("entity", F.concat("pattern", F.array("state")).alias("pattern"), F.col("next").alias("at")).persist()
-            longer.count()
-            held.unpersist()
-            held = longer
-    held.unpersist()
-    places.unpersist()
-    return seq.sparkSession.createDataFrame(found, "pattern array<string>, n_sequences long")
+
+        def counts(batches: Iterator[pa.RecordBatch], levels: list = tuple(levels)) -> Iterator[pa.RecordBatch]:
+            many = len(levels[-1][0]) * kinds
+            for batch in batches:
+                total, keys = np.zeros(many if many <= DENSE else 0, np.int64), []
+                column = batch.column("codes")
+                flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+                for i, j in zip(ends[:-1], ends[1:]):
+                    own, mine = np.unique(flat[i:j], return_inverse=True)
+                    if not len(own):
+                        continue
+                    after = next_places(mine, len(own))
+                    column_of = np.full(kinds, -1)
+                    column_of[own] = np.arange(len(own))
+                    ends_at = np.zeros(1, np.int64)
+                    held = np.ones(1, bool)
+                    for before, state in levels:
+                        there = held[before] & (column_of[state] >= 0)
+                        place = np.zeros(len(before), np.int64)
+                        place[there] = after[ends_at[before[there]], column_of[state[there]]]
+                        ends_at, held = place, place > 0
+                    alive = np.flatnonzero(held)
+                    row, col = np.nonzero(after[ends_at[alive]])
+                    key = alive[row] * kinds + own[col]
+                    if many <= DENSE:
+                        total[key] += 1
+                    else:
+                        keys.append(key)
+                hit, c = (np.flatnonzero(total), total[total > 0]) if many <= DENSE else np.unique(np.concatenate([*keys, np.empty(0, np.int64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(c)], ["key", "c"])
+
+        next_level = codes.mapInArrow(counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("n_sequences")).where(F.col("n_sequences") >= least)
+        rows = sorted((r["key"], r["n_sequences"]) for r in next_level.collect())
+        key = np.array([k for k, _ in rows], dtype=np.int64)
+        patterns = [[*patterns[k // kinds], names[k % kinds].as_py()] for k, _ in rows]
+        levels.append((key // max(kinds, 1), key % max(kinds, 1)))
+        found += [(p, c) for p, (_, c) in zip(patterns, rows)] if len(levels) >= shortest else []
+    codes.unpersist()
+    return spark.createDataFrame(found, "pattern array<string>, n_sequences long")
 
 
 def association_rules(frequent: DataFrame, n: int, confidence: float = 0.5, strict: bool = False) -> DataFrame:
