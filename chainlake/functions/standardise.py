@@ -51,21 +51,28 @@ def replaced_names(text: Column, people: tuple[str, ...] = PEOPLE) -> Column:
     return F.concat(*found)
 
 
+#: Rows of a task: the patterns cost far more than the rows weigh, so rows are dealt however few files they lie in.
+TASK_ROWS = 50_000
+
+
 def variants(df: DataFrame, n: int = 3, synonyms: dict[str, tuple[str, ...]] = SYNONYMS, people: tuple[str, ...] = PEOPLE) -> DataFrame:
     """id, variant (0 to n-1), text: each word with synonyms is replaced on a coin by a hash of id, place and variant.
 
-    A variant that is the text itself is replaced by "The event: ..." or "... occurred", by another coin.
+    A variant that is the text itself is replaced by "The event: ..." or "... occurred", by another coin. The patterns run
+    once for each text, before it is repeated, and coins are thrown for words that have synonyms alone.
     """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
     known = F.create_map(*[x for w, s in synonyms.items() for x in (F.lit(w), F.array(*map(F.lit, s)))])
-    rows = df.select("id", F.split(F.lower(standardise_names(F.col("text"), people)), " ").alias("words"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("variant"))
+    once = df.select("id", "text").repartition(tasks).select("id", F.split(F.lower(standardise_names(F.col("text"), people)), " ").alias("words"))
+    rows = once.select("id", "words", F.array_join("words", " ").alias("plain")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("variant"))
     coin = lambda i, salt: F.xxhash64(F.col("id"), i, F.col("variant"), F.lit(salt))
 
     def word(w: Column, i: Column) -> Column:
         choice = F.element_at(known, w)
         other = F.get(choice, F.pmod(coin(i, 2), F.size(choice)).cast("int"))
-        return F.when(choice.isNotNull() & (F.pmod(coin(i, 1), F.lit(2)) == 1), other).otherwise(w)
+        return F.when(w.isin(*synonyms) & (F.pmod(coin(i, 1), F.lit(2)) == 1), other).otherwise(w)
 
-    plain = F.array_join("words", " ")
-    changed = F.array_join(F.transform("words", word), " ")
+    plain, changed = F.col("plain"), F.col("changed")
     padded = F.when(F.pmod(coin(F.lit(-1), 3), F.lit(2)) == 1, F.concat(F.lit("The event: "), plain)).otherwise(F.concat(plain, F.lit(" occurred")))
-    return rows.select("id", "variant", F.when(changed != plain, changed).otherwise(padded).alias("text"))
+    both = rows.withColumn("changed", F.array_join(F.transform("words", word), " "))
+    return both.select("id", "variant", F.when(changed != plain, changed).otherwise(padded).alias("text"))
